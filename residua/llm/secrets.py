@@ -25,6 +25,7 @@ from re import _parser as sre  # the standard library's regex syntax tree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -282,10 +283,10 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
