@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,237 @@ def anova_f(long: DataFrame, feature: str = "feature", label: str = "label", val
 def top_features(scores: DataFrame, n: int, feature: str = "feature", score: str = "f") -> DataFrame:
     """The n features of highest score (NaN first, ties by feature id)."""
     return scores.orderBy(F.desc(score), feature).limit(n)
+
+
+def mask_large(long: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """Values over the threshold become null."""
+    return long.withColumn("value", F.when(F.col("value") <= threshold, F.col("value")))
+
+
+def large_values(long: DataFrame, threshold: float = 70.0, n: int | None = None) -> DataFrame:
+    """Rows with a value over the threshold, largest first; n of them if given."""
+    rows = long.where(F.col("value") > threshold).orderBy(F.desc("value"), "structure", "feature")
+    return rows.limit(n) if n else rows
+
+
+def large_by_feature(long: DataFrame, threshold: float, n: int = 10) -> DataFrame:
+    """The features with most values over the threshold, and how many of their values remain."""
+    by = long.groupBy("feature").agg(F.count_if(F.col("value") > threshold).alias("n_large"), F.count_if(F.col("value") <= threshold).alias("n_left"))
+    return by.where("n_large > 0").orderBy(F.desc("n_large"), "feature").limit(n)
+
+
+def without_neighbours(pairs: DataFrame) -> DataFrame:
+    """Rows whose positions are not consecutive."""
+    return pairs.where(F.abs(F.col("pos2") - F.col("pos1")) != 1)
+
+
+def keep_features(long: DataFrame, features: DataFrame, feature: str = "feature") -> DataFrame:
+    """Rows of the chosen features."""
+    return long.join(features.select(feature).distinct(), feature, "left_semi")
+
+
+def feature_statistics(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
+    """mean, population std and variance, and number of values per feature."""
+    return long.groupBy(feature).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.var_pop(value).alias("variance"), F.count(value).alias("n"))
+
+
+def drop_missing(dense: DataFrame, most: float = 1.0) -> DataFrame:
+    """Rows of features whose share of missing values is at most `most`, then of structures, over the features left."""
+    share = lambda key, df: df.groupBy(key).agg(F.avg(F.col("value").isNull().cast("int")).alias("m")).where(F.col("m") <= most).select(key)
+    kept = dense.join(share("feature", dense), "feature", "left_semi")
+    return kept.join(share("structure", kept), "structure", "left_semi")
+
+
+def cleanup(dense: DataFrame, threshold: float = 50.0, most: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Masked and reduced rows, and a table of step, structures, features and values."""
+    masked = mask_large(dense, threshold)
+    kept = drop_missing(masked, most)
+    size = lambda name, df: df.agg(F.countDistinct("structure").alias("structures"), F.countDistinct("feature").alias("features"), F.count("value").alias("values")).select(F.lit(name).alias("step"), "*")
+    return kept, size("before", dense).unionByName(size("masked", masked)).unionByName(size("reduced", kept))
+
+
+def representatives(groups: DataFrame, stats: DataFrame, group: str = "component") -> DataFrame:
+    """Per group the feature with the largest std (ties: the smallest id)."""
+    return groups.join(stats.select("feature", "std"), "feature").groupBy(group).agg(F.max_by("feature", F.struct("std", -F.col("feature"))).alias("feature"), F.count("*").alias("members"))
+
+
+def low_variance(stats: DataFrame, threshold: float = 0.1, inclusive: bool = False) -> DataFrame:
+    """Features whose population variance is over the threshold (or equal to it, if inclusive)."""
+    v = F.col("variance")
+    return stats.where(v >= threshold if inclusive else v > threshold).select("feature")
+
+
+def balanced(rows: DataFrame, label: str = "label", key: str = "structure", seed: int = 42) -> DataFrame:
+    """Every class cut to the size of the smallest, by a seeded hash order of the key."""
+    classes = rows.groupBy(label).agg(F.count("*").alias("n"))
+    least = classes.agg(F.min("n").alias("least"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    return rows.withColumn("_rank", rank).crossJoin(F.broadcast(least)).where(F.col("_rank") <= F.col("least")).drop("_rank", "least")
+
+
+def correlated_pairs(dense: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b whose signed Pearson r over structures is above the threshold.
+
+    Missing cells take the feature's median. For few features: one self-join on structure,
+    summed map-side. For many, see gram_pairs.
+    """
+    from residua.operators.features import imputed
+
+    x = imputed(dense).select("structure", "feature", "value")
+    a, b = x.alias("a"), x.alias("b")
+    both = a.join(b, (F.col("a.structure") == F.col("b.structure")) & (F.col("a.feature") < F.col("b.feature")))
+    r = both.groupBy(F.col("a.feature").alias("a"), F.col("b.feature").alias("b")).agg(F.corr("a.value", "b.value").alias("r"))
+    return r.where(F.col("r") > threshold)
+
+
+def gram_pairs(dense: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """The same for many features: standardised rows, and block products summed over structures.
+
+    A structure's row is cut into feature blocks; pairs of blocks of one chunk of structures
+    are multiplied in NumPy and summed by block pair, so no task holds more than a block
+    square and F^2 values are never materialised as rows (only edges are).
+    """
+    import numpy as np
+    import pandas as pd
+
+    from residua.operators.features import imputed
+
+    x = imputed(dense).select("structure", "feature", "value")
+    stats = x.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    number = stats.withColumn("at", F.row_number().over(Window.orderBy("feature")) - 1)  # a row per feature
+    n_structures = x.select("structure").distinct().count()
+    z = x.join(F.broadcast(number), "feature").select("structure", "feature", "at", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0).alias("z"))
+    chunks = F.pmod(F.xxhash64("structure"), F.lit(max(1, n_structures // 2048)))
+    cells = z.select(chunks.alias("chunk"), (F.col("at") / block).cast("int").alias("block"), "structure", (F.col("at") % block).cast("int").alias("at"), "z")
+    packed = cells.groupBy("chunk", "block").agg(F.array_sort(F.collect_list(F.struct("structure", "at", "z"))).alias("rows"))
+    left, right = packed.select("chunk", F.col("block").alias("i"), F.col("rows").alias("u")), packed.select("chunk", F.col("block").alias("j"), F.col("rows").alias("v"))
+
+    def product(batches):
+        for pdf in batches:
+            out = []
+            for u, v in zip(pdf.u, pdf.v):
+                names = {s: k for k, s in enumerate(sorted({x["structure"] for x in u} | {x["structure"] for x in v}))}
+                a, b = np.zeros((len(names), block)), np.zeros((len(names), block))
+                for m, rows in ((a, u), (b, v)):
+                    for x in rows:
+                        m[names[x["structure"]], x["at"]] = x["z"]
+                out.append((a.T @ b).ravel().tolist())
+            yield pd.DataFrame({"i": pdf.i, "j": pdf.j, "g": out})
+
+    parts = left.join(right, "chunk").where("i <= j").select("i", "j", "u", "v").mapInPandas(product, "i int, j int, g array<double>")
+    cell = parts.select("i", "j", F.posexplode("g").alias("k", "g")).groupBy("i", "j", "k").agg(F.sum("g").alias("g"))
+    r = cell.select((F.col("i") * block + (F.col("k") / block).cast("int")).alias("p"), (F.col("j") * block + F.col("k") % block).alias("q"), (F.col("g") / (n_structures - 1)).alias("r"))
+    edges = r.where((F.col("p") < F.col("q")) & (F.col("r") > threshold))
+    name = number.select("at", "feature")
+    return edges.join(name.select(F.col("at").alias("p"), F.col("feature").alias("a")), "p").join(name.select(F.col("at").alias("q"), F.col("feature").alias("b")), "q").select("a", "b", "r")
+
+
+def correlation_groups(dense: DataFrame, threshold: float = 0.90, many: bool = False) -> DataFrame:
+    """component, feature (the one of largest std) and members, for every connected group of correlated features.
+
+    Features without a partner are groups of one.
+    """
+    from residua.operators.graph import components
+
+    edges = (gram_pairs if many else correlated_pairs)(dense, threshold).select("a", "b")
+    features = dense.select("feature").distinct()
+    comp = components(edges)
+    groups = features.join(comp.withColumnRenamed("node", "feature"), "feature", "left").withColumn("component", F.coalesce("component", "feature"))
+    return representatives(groups, feature_statistics(dense))
+
+
+def mean_groups(stats: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """feature, leader: features in order of id join the first earlier leader whose mean is within the tolerance.
+
+    Means more than a tolerance apart in sorted order can't share a leader, so runs of
+    occupied buckets of twice the tolerance are independent and go to tasks one by one.
+    """
+    import pandas as pd
+
+    rows = stats.where(F.col("mean").isNotNull()).select("feature", "mean").withColumn("bucket", F.floor(F.col("mean") / (2 * tolerance)))
+    used = rows.select("bucket").distinct()
+    island = used.withColumn("island", F.col("bucket") - F.row_number().over(Window.orderBy("bucket")))  # at most a row per feature
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaders: list[tuple[int, float]] = []
+        out = []
+        for feature, mean in pdf.sort_values("feature")[["feature", "mean"]].itertuples(index=False):
+            leader = next((f for f, m in leaders if abs(mean - m) <= tolerance), None)
+            if leader is None:
+                leaders.append((feature, mean))
+                leader = feature
+            out.append((feature, leader))
+        return pd.DataFrame(out, columns=["feature", "component"])
+
+    return rows.join(island, "bucket").groupBy("island").applyInPandas(greedy, "feature long, component long")
+
+
+def same_mean_groups(dense: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """component, feature (of largest std) and members of each group of equal means."""
+    stats = feature_statistics(dense)
+    return representatives(mean_groups(stats, tolerance), stats)
+
+
+def f_to_p(scores: DataFrame) -> DataFrame:
+    """scores (f, n, k) with p: the upper tail of the F distribution, by the regularised incomplete beta function."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([_f_tail(x, a - 1, b - a) if np.isfinite(x) and b > a > 1 else (np.nan if np.isnan(x) else 1.0) for x, b, a in zip(f, n, k)])
+
+    return scores.withColumn("p", tail("f", "n", "k"))
+
+
+def _f_tail(f: float, d1: int, d2: int) -> float:
+    """P(F > f) by numerical integration of the beta density (Gauss-Legendre after a square-root map)."""
+    import math
+
+    import numpy as np
+
+    if f <= 0:
+        return 1.0
+    a, b = d2 / 2, d1 / 2
+    x = d2 / (d2 + d1 * f)
+    log_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    nodes, weights = np.polynomial.legendre.leggauss(400)
+    if x < 0.5:
+        t = (nodes + 1) / 2  # u = x t^2
+        u = x * t * t
+        log_density = (a - 1) * np.log(u) + (b - 1) * np.log1p(-u) - log_beta
+        return float(np.clip((np.exp(log_density) * x * t * weights).sum(), 0, 1))
+    t = (nodes + 1) / 2
+    u = 1 - (1 - x) * t * t
+    log_density = (a - 1) * np.log(u) + (b - 1) * np.log((1 - x) * t * t) - log_beta
+    return float(np.clip(1 - (np.exp(log_density) * (1 - x) * t * weights).sum(), 0, 1))
+
+
+def selection_chain(pairs: DataFrame, large: float = 50.0, correlation: float = 0.90, tolerance: float = 0.01, variance: float = 0.1, top: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Masking, missing values, neighbours, correlation, equal means, variance, F score, imputation, in that order.
+
+    pairs: structure, feature, pos1, pos2, label, value (a row for every structure and
+    feature). Each step gives the ids that survive; the long table is only semi-joined.
+    Returns the long table and the funnel (step, features).
+    """
+    from residua.operators.features import imputed
+
+    steps = []
+    count = lambda name, df: steps.append(df.agg(F.countDistinct("feature").alias("features")).select(F.lit(name).alias("step"), "features"))
+    labels = pairs.select("structure", "label").distinct()
+    count("all", pairs)
+    x = without_neighbours(drop_missing(mask_large(pairs, large)))
+    count("cleaned", x)
+    x = keep_features(x, correlation_groups(x.select("structure", "feature", "value"), correlation))
+    count("correlation", x)
+    x = keep_features(x, same_mean_groups(x.select("structure", "feature", "value"), tolerance))
+    count("equal means", x)
+    x = keep_features(x, low_variance(feature_statistics(x), variance))
+    count("variance", x)
+    x = keep_features(x, top_features(anova_f(x), top))
+    count("f score", x)
+    out = imputed(x.select("structure", "feature", "value")).join(labels, "structure")
+    funnel = steps[0]
+    for s in steps[1:]:
+        funnel = funnel.unionByName(s)
+    return out, funnel
