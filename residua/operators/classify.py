@@ -156,7 +156,8 @@ def attributions(model: RandomForestClassificationModel, rows: DataFrame) -> Dat
                 both = [tree_attributions(t, np.asarray(x, float)) for t in trees.value]
                 base, phi = sum(b for b, _ in both) / len(both), sum(p for _, p in both) / len(both)
                 out += [(s, i, c, phi[i, c], base[c]) for i in range(phi.shape[0]) for c in range(phi.shape[1])]
-            yield pd.DataFrame(out, columns=["structure", "feature", "class", "phi", "base"])
+            table = pd.DataFrame(out, columns=["structure", "feature", "class", "phi", "base"])
+            yield table.assign(structure=pd.Series([r[0] for r in out], dtype=object))
 
     kind = rows.schema["structure"].dataType.simpleString()
     return rows.select("structure", "x").mapInPandas(score, f"structure {kind}, feature int, class int, phi double, base double")

@@ -56,12 +56,11 @@ def resample(points: DataFrame, template: DataFrame | None = None, k: int = POIN
     short = size.where("n < 4").select("structure")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 4:
-            return pd.DataFrame({"structure": [], "k": [], "x": [], "y": [], "z": []})
         out = evenly_spaced(pdf.sort_values("ord")[["x", "y", "z"]].to_numpy(float), k)
-        return pd.DataFrame({"structure": pdf.structure.iloc[0], "k": range(k), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+        name = pd.Series([pdf.structure.iloc[0]] * k, dtype=object)
+        return pd.DataFrame({"structure": name, "k": range(k), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
 
-    rows = points.select("structure", "ord", "x", "y", "z").groupBy("structure").applyInPandas(one, f"structure {points.schema['structure'].dataType.simpleString()}, k int, x double, y double, z double")
+    rows = points.join(size.where("n >= 4"), "structure", "left_semi").select("structure", "ord", "x", "y", "z").groupBy("structure").applyInPandas(one, f"structure {points.schema['structure'].dataType.simpleString()}, k int, x double, y double, z double")
     return (rows.join(F.broadcast(template), "k") if template is not None else rows), short
 
 

@@ -28,7 +28,7 @@ def anova_f(long: DataFrame, feature: str = "feature", label: str = "label", val
     mean = F.col("s1") / F.col("n")
     between = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c.n * (c.m - mean) * (c.m - mean))
     usable = (F.col("n") >= 3) & (F.col("k") >= 2) & (F.col("n") > F.col("k"))
-    f = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
+    f = F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
     return whole.select(feature, "n", "k", F.when(usable, F.coalesce(f, F.lit(float("nan")))).otherwise(0.0).alias("f"))
 
 

@@ -28,7 +28,7 @@ MAPPING_PAYLOAD = T.StructType(
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """accession (upper case) and chains (array) from a tab-separated file with a header."""
     raw = spark.read.schema(MANIFEST).option("header", True).csv(path, sep="\t")
-    return raw.select(F.upper(F.trim("Accession")).alias("accession"), F.transform(F.split("Chains", ";"), F.trim).alias("chains"))
+    return raw.select(F.upper(F.trim("Accession")).alias("accession"), F.transform(F.split("Chains", ";"), lambda x: F.trim(x)).alias("chains"))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.pdb", recursive: bool = False, without: str | None = "combined") -> DataFrame:
