@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,7 +293,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         """Documents without repeated stretches are done; the others keep their text."""
         for batch, data, offsets in steps(batches):
             done = _rows(batch, data, offsets, [None] * batch.num_rows)
-            text = pc.if_else(batch.column("contexts").is_valid(), batch.column("text"), pa.scalar(None, pa.string()))
+            text = pa.array([t if o else None for o, t in zip(batch.column("contexts").is_valid().to_pylist(), batch.column("text").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*done.columns, text, batch.column("contexts")], [*done.schema.names, "text", "contexts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
