@@ -14,12 +14,13 @@ of 0.8 differ in few shingles, so:
   its empty cells too, for other irregular sets. If only one of the two sets is
   irregular, the other one's filled cells are enough. Nothing similar is lost.
 
-Equal sets are one class throughout. Per signature, the members are chained and linked
-to a leader; the best candidates of each class are verified on the texts, and classes
-so joined form first components. What is left are signatures shared by different
-components: their members are compared block by block with parity sketches, which bound
-the number of differing shingles from below, and what passes is verified too. So no
-group is expanded into all pairs, and no link between components is missed.
+Equal sets are one class throughout. Per signature, the class that shares most leads the
+others; the best candidates of each class are verified on the texts, and classes so
+joined form first components, which then meet through their leaders again. What is left
+are signatures shared by different components: their members are compared with parity
+sketches, which bound the number of differing shingles from below, block by block, and
+what passes is verified too. So no group is expanded into all pairs, and no link between
+components is missed.
 
 A null or wordless text has an empty set and is linked with nothing; so are rows without
 a doc_id. Fewer than five words make one shingle. Rows with equal doc_id and text are
@@ -42,8 +43,10 @@ SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 #: Upper over lower end of a size band.
 BAND = 1.6
-#: Candidates verified per class before components are formed.
-BEST = 2
+#: Candidates verified per class before components are formed, and rounds between components after that.
+BEST, HUB_ROUNDS = 2, 2
+#: Signatures of up to so many members are paired directly.
+FEW = 6
 #: Members of a signature that are compared in one block.
 BLOCK = 1500
 #: Most bits of a parity sketch.
@@ -167,36 +170,53 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(sigs: DataFrame) -> DataFrame:
-    """(sig, sid, lead, before) of signatures with several classes: each row but a signature's first has the
-    first class (lead) and the one before it; the first row has null there. One exchange, sorted runs, streamed."""
+    """(sig, sid, members) of signatures with several classes. One exchange, sorted runs, streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_sig = held_sid = np.zeros(0, np.int64)
 
-        def found(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        def distinct(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-            sig, sid = sig[new], sid[new]
-            same = np.zeros(len(sig) + 1, bool)
-            same[1:-1] = sig[1:] == sig[:-1]
-            keep = np.flatnonzero(same[:-1] | same[1:])
-            first = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(sig)))) if len(sig) else keep
-            none = ~same[:-1][keep]
-            return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(sid[keep]), pa.array(sid[first[keep]], mask=none), pa.array(sid[keep - 1], mask=none)], ["sig", "sid", "lead", "before"])
+            return sig[new], sid[new]
+
+        def found(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+            sig, sid = distinct(sig, sid)
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            members = np.diff(np.append(np.flatnonzero(new), len(sig)))
+            members = np.repeat(members, members)
+            keep = members > 1
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, sid, members)], ["sig", "sid", "members"])
 
         for batch in batches:
             sig = np.concatenate([held_sig, batch.column("sig").to_numpy()])
             sid = np.concatenate([held_sid, batch.column("sid").to_numpy()])
             # The last signature may go on in the next batch; a long one is held as its distinct classes.
             cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-            held_sig, held_sid = sig[cut:], sid[cut:]
-            new = np.ones(len(held_sid), bool)
-            new[1:] = held_sid[1:] != held_sid[:-1]
-            held_sig, held_sid = held_sig[new], held_sid[new]
+            held_sig, held_sid = distinct(sig[cut:], sid[cut:])
             yield found(sig[:cut], sid[:cut])
         yield found(held_sig, held_sid)
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "sig long, sid long, lead long, before long")
+    return sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "sig long, sid long, members long")
+
+
+def hub_pairs(shared: DataFrame, weights: DataFrame, labels: DataFrame | None, best: int = BEST) -> DataFrame:
+    """Candidate pairs (a, b): per signature its heaviest class with the others, at most `best` per class.
+
+    A class is the heavier the more signatures it shares with the more others, so the text
+    that many are near copies of leads them. With labels, each component of a signature
+    stands for itself by its heaviest class, and pairs within a component are left out.
+    """
+    rows = shared.select("sig", "sid").join(weights, "sid")
+    if labels is not None:
+        rows = rows.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        rows = rows.groupBy("sig", "comp").agg(F.max(F.struct("weight", "sid")).alias("r")).select("sig", "comp", "r.*")
+    lead = rows.groupBy("sig").agg(F.max(F.struct("weight", "sid")).alias("r"), F.count("*").alias("n")).where("n > 1").select("sig", F.col("r.sid").alias("a"))
+    pairs = rows.join(lead, "sig").where("a <> sid").select("a", F.col("sid").alias("b"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -243,12 +263,40 @@ def components(links: DataFrame, node: str = "sid") -> DataFrame:
             return labels
 
 
+def possible(batch: pa.RecordBatch, similarity: Fraction) -> np.ndarray:
+    """Which rows (n_a, n_b, sketch_a, sketch_b) may be similar by size and sketch."""
+    num, den = similarity.numerator, similarity.denominator
+    n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+    ok = (n * den >= num * m) & (m * den >= num * n)
+    for i in np.flatnonzero(ok).tolist():
+        x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("sketch_a", "sketch_b"))
+        low = min(len(x), len(y))
+        ok[i] = int(np.bitwise_count(_folded(x, low) ^ _folded(y, low)).sum(dtype=np.int64)) * (den + num) <= (den - num) * int(n[i] + m[i])
+    return ok
+
+
 def across_components(shared: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Pairs (a, b) that share a signature, are in different components and may be similar by size and sketch."""
     rows = shared.select("sig", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
-    rows = rows.join(mixed, "sig").join(sketches, "sid")
-    # A signature's members are dealt into blocks of bounded size, and every two blocks meet once.
+    rows = stage_table(rows.join(mixed, "sig"), "mixed")
+    # Signatures of few members: their pairs, each looked at once however many signatures it shares.
+    few = rows.where(F.col("members") <= FEW)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
+    side = lambda n: sketches.select(F.col("sid").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array(possible(batch, similarity), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    small = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(check, "a long, b long")
+    return small.unionByName(in_blocks(rows.where(F.col("members") > FEW).join(sketches, "sid"), similarity)).distinct()
+
+
+def in_blocks(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The same for signatures of many members: dealt into blocks of bounded size, of which every two meet once."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -260,53 +308,60 @@ def across_components(shared: DataFrame, labels: DataFrame, sketches: DataFrame,
         own, sid, comp, n = (group[c].to_numpy() for c in ("own", "sid", "comp", "n_shingles"))
         bits = [np.frombuffer(x.as_py(), "<u8") for x in group["sketch"]]
         left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        words = {k: len(b) for k, b in enumerate(bits)}
+        words = np.array([len(b) for b in bits])
         a_out, b_out = [], []
-        for w in sorted({words[k] for k in left}):
-            mine = left[[words[k] == w for k in left]]
-            for v in sorted({words[k] for k in right}):
+        for w in np.unique(words[left]).tolist():
+            mine = left[words[left] == w]
+            for v in np.unique(words[right]).tolist():
                 # Similar sizes have sketches of equal or next size.
                 if v > 2 * w or w > 2 * v:
                     continue
-                theirs = right[[words[k] == v for k in right]]
+                theirs = right[words[right] == v]
                 low = min(v, w)
                 x, y = _folded(np.stack([bits[k] for k in mine]), low), _folded(np.stack([bits[k] for k in theirs]), low)
                 for r, row in zip(mine, x):
-                    total = n[theirs] + n[r]
-                    # difference <= (1 - t) / (1 + t) * total, in whole numbers
-                    near = np.bitwise_count(row ^ y).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * total
-                    near &= (comp[theirs] != comp[r]) & (n[theirs] * den >= num * n[r]) & (n[r] * den >= num * n[theirs])
+                    near = (comp[theirs] != comp[r]) & (n[theirs] * den >= num * n[r]) & (n[r] * den >= num * n[theirs])
                     if i == j:
                         near &= sid[theirs] > sid[r]
-                    hit = theirs[near]
-                    a_out.append(np.minimum(sid[hit], sid[r]))
-                    b_out.append(np.maximum(sid[hit], sid[r]))
+                    at = np.flatnonzero(near)
+                    if len(at):
+                        # difference <= (1 - t) / (1 + t) * total, in whole numbers
+                        at = at[np.bitwise_count(row ^ y[at]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[theirs[at]] + n[r])]
+                        hit = theirs[at]
+                        a_out.append(np.minimum(sid[hit], sid[r]))
+                        b_out.append(np.maximum(sid[hit], sid[r]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """A row per row of docs: doc_id, doc_key, n_shingles, component_id."""
     rows = stage_table(classes_of(docs), "sets")
     shared = stage_table(shared_signatures(signed(docs)), "shared")
-    lead = shared.where("lead is not null").select(F.explode(F.array("lead", "before")).alias("a"), F.col("sid").alias("b"))
-    counted = lead.groupBy("a", "b").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-    best = stage_table(counted.withColumn("rank", rank).where(F.col("rank") <= BEST).select("a", "b"), "best")
+    weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch")).alias("r")).select("sid", "r.*")
-    wanted = stage_table(shared.select("sid").distinct().join(classes, "sid"), "classes")
+    wanted = stage_table(weights.select("sid").join(classes, "sid"), "classes")
     keys = wanted.select("sid", F.col("doc_id").alias("k_id"), F.col("doc_key").alias("k_key"))
     d = documents_in(docs)
     found = d.join(keys, (d.doc_id == keys.k_id) & (d.doc_key == keys.k_key)).select("sid", "text").dropDuplicates(["sid"])
     texts = stage_table(found, "texts")
-    first = stage_table(verified(best, texts, similarity), "links")
-    labels = components(first)
-    more = across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(best, ["a", "b"], "left_anti")
-    second = stage_table(verified(more, texts, similarity), "links")
-    if not second.isEmpty():
-        labels = components(first.union(second))
+    tested = stage_table(hub_pairs(shared, weights, None), "tested")
+    links = stage_table(verified(tested, texts, similarity), "links")
+    labels = components(links)
+    for _ in range(HUB_ROUNDS):
+        fresh = stage_table(hub_pairs(shared, weights, labels, 1).join(tested, ["a", "b"], "left_anti"), "tested")
+        more = stage_table(verified(fresh, texts, similarity), "links")
+        tested = tested.union(fresh)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+    rest = across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(tested, ["a", "b"], "left_anti")
+    last = stage_table(verified(rest, texts, similarity), "links")
+    if not last.isEmpty():
+        labels = components(links.union(last))
     return with_component_ids(rows, labels)
 
 
