@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import bpe, decontaminate, jaccard, licenses, quality_model, quality_rules, recompress, secrets, suffixes
+from residua.llm import bpe, decontaminate, jaccard, licenses, oracle, quality_model, quality_rules, recompress, secrets, suffixes
 from residua.llm.common import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
 
 
 def query(f):
