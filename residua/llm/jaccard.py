@@ -44,13 +44,15 @@ SIMILARITY = Fraction(4, 5)
 #: Upper over lower end of a size band.
 BAND = 1.6
 #: Candidates verified per class before components are formed, and rounds between components after that.
-BEST, HUB_ROUNDS = 2, 2
+BEST, HUB_ROUNDS = 2, 1
 #: Signatures of up to so many members are paired directly.
 FEW = 6
 #: Members of a signature that are compared in one block.
 BLOCK = 1500
-#: Most bits of a parity sketch.
-SKETCH_BITS = 4096
+#: Bits of a parity sketch: a fixed number that travels with signatures, and at most so many for large sets.
+THIN_BITS, SKETCH_BITS = 1024, 4096
+#: A table of keys is broadcast up to so many rows (8 bytes each); beyond, it is joined by exchange.
+BROADCAST_KEYS = 500_000
 
 
 def shingle_hashes(words: np.ndarray, length: int = SHINGLE) -> np.ndarray:
@@ -119,7 +121,7 @@ def signatures(s: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity of the number of hashes in each of many cells; two sets differ at least where bits do."""
-    bits = 64
+    bits = THIN_BITS
     while bits < 2 * len(s) and bits < SKETCH_BITS:
         bits *= 2
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -134,20 +136,25 @@ def _folded(a: np.ndarray, words: int) -> np.ndarray:
     return a
 
 
+def thin(bits: bytes) -> bytes:
+    return _folded(np.frombuffer(bits, "<u8"), THIN_BITS // 64).tobytes()
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, n_shingles, sid and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch, data, offsets in steps(batches):
-            n, sid, bits = [], [], []
+            n, sid, bits, few = [], [], [], []
             for s in sets_in(data, offsets, hasher):
                 n.append(len(s))
                 sid.append(set_id(s))
                 bits.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "doc_key", "n_shingles", "sid", "sketch"])
+                few.append(thin(bits[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(few, pa.binary())], ["doc_id", "doc_key", "n_shingles", "sid", "sketch", "thin"])
 
-    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_shingles long, sid long, sketch binary")
+    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_shingles long, sid long, sketch binary, thin binary")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -221,6 +228,9 @@ def hub_pairs(shared: DataFrame, weights: DataFrame, labels: DataFrame | None, b
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, by their texts. texts: (sid, text), a row per class."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(wanted), "sid", "left_semi")
     t = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     u = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
@@ -263,36 +273,51 @@ def components(links: DataFrame, node: str = "sid") -> DataFrame:
             return labels
 
 
-def possible(batch: pa.RecordBatch, similarity: Fraction) -> np.ndarray:
-    """Which rows (n_a, n_b, sketch_a, sketch_b) may be similar by size and sketch."""
+def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) within signatures of at most FEW members that differ in component and may be similar by size and sketch.
+
+    rows: sig, sid, comp, n_shingles, thin. One exchange by signature; runs are compared
+    with themselves, moved by one, two, ... places.
+    """
     num, den = similarity.numerator, similarity.denominator
-    n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-    ok = (n * den >= num * m) & (m * den >= num * n)
-    for i in np.flatnonzero(ok).tolist():
-        x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("sketch_a", "sketch_b"))
-        low = min(len(x), len(y))
-        ok[i] = int(np.bitwise_count(_folded(x, low) ^ _folded(y, low)).sum(dtype=np.int64)) * (den + num) <= (den - num) * int(n[i] + m[i])
-    return ok
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            sig, sid, comp, n = (t.column(c).to_numpy() for c in ("sig", "sid", "comp", "n_shingles"))
+            bits = np.frombuffer(b"".join(t.column("thin").to_pylist()), "<u8").reshape(len(sig), THIN_BITS // 64)
+            out = []
+            for d in range(1, FEW):
+                i = np.flatnonzero((sig[d:] == sig[:-d]) & (comp[d:] != comp[:-d]) & (n[d:] * den >= num * n[:-d]) & (n[:-d] * den >= num * n[d:])) if len(sig) > d else np.zeros(0, np.int64)
+                # difference <= (1 - t) / (1 + t) * total, in whole numbers
+                i = i[np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[i] + n[i + d])]
+                out.append(np.stack([np.minimum(sid[i], sid[i + d]), np.maximum(sid[i], sid[i + d])], axis=1))
+            both = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch]).combine_chunks()
+            sig = t.column("sig").to_numpy()
+            cut = int(np.searchsorted(sig, sig[-1]))
+            held = t.slice(cut)
+            yield found(t.slice(0, cut).combine_chunks())
+        if held is not None:
+            yield found(held.combine_chunks())
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "a long, b long")
 
 
 def across_components(shared: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Pairs (a, b) that share a signature, are in different components and may be similar by size and sketch."""
     rows = shared.select("sig", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
-    rows = stage_table(rows.join(mixed, "sig"), "mixed")
-    # Signatures of few members: their pairs, each looked at once however many signatures it shares.
-    few = rows.where(F.col("members") <= FEW)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    side = lambda n: sketches.select(F.col("sid").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array(possible(batch, similarity), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
-
-    small = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(check, "a long, b long")
-    return small.unionByName(in_blocks(rows.where(F.col("members") > FEW).join(sketches, "sid"), similarity)).distinct()
+    mixed = stage_table(mixed, "mixed")
+    few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(sketches.select("sid", "n_shingles", "thin"), "sid")
+    many = rows.join(mixed.where(F.col("members") > FEW), "sig").join(sketches.select("sid", "n_shingles", "sketch"), "sid")
+    return close_pairs(few, similarity).unionByName(in_blocks(many, similarity)).distinct()
 
 
 def in_blocks(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -341,30 +366,37 @@ def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFr
     rows = stage_table(classes_of(docs), "sets")
     shared = stage_table(shared_signatures(signed(docs)), "shared")
     weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch")).alias("r")).select("sid", "r.*")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch", "thin")).alias("r")).select("sid", "r.*")
     wanted = stage_table(weights.select("sid").join(classes, "sid"), "classes")
     keys = wanted.select("sid", F.col("doc_id").alias("k_id"), F.col("doc_key").alias("k_key"))
     d = documents_in(docs)
-    found = d.join(keys, (d.doc_id == keys.k_id) & (d.doc_key == keys.k_key)).select("sid", "text").dropDuplicates(["sid"])
-    texts = stage_table(found, "texts")
+    found = d.join(keys, (d.doc_id == keys.k_id) & (d.doc_key == keys.k_key)).dropDuplicates(["k_id", "k_key"])
+    texts = stage_table(found.select("sid", "text"), "texts")
     tested = stage_table(hub_pairs(shared, weights, None), "tested")
     links = stage_table(verified(tested, texts, similarity), "links")
     labels = components(links)
     for _ in range(HUB_ROUNDS):
         fresh = stage_table(hub_pairs(shared, weights, labels, 1).join(tested, ["a", "b"], "left_anti"), "tested")
-        more = stage_table(verified(fresh, texts, similarity), "links")
         tested = tested.union(fresh)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = components(links)
-    rest = across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(tested, ["a", "b"], "left_anti")
-    last = stage_table(verified(rest, texts, similarity), "links")
-    if not last.isEmpty():
-        labels = components(links.union(last))
+        labels = joined(labels, stage_table(verified(fresh, texts, similarity), "links"))
+    rest = stage_table(across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch", "thin"), similarity).join(tested, ["a", "b"], "left_anti"), "rest")
+    labels = joined(labels, stage_table(verified(rest, texts, similarity), "links"))
     return with_component_ids(rows, labels)
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the components that these join are looked at again."""
+    if links.isEmpty():
+        return labels
+    end = lambda x: labels.select(F.col("sid").alias(x), F.col("comp").alias(f"c_{x}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    edges = ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = components(edges, "node").withColumnRenamed("comp", "top")
+    known = labels.select("sid", "comp").union(links.select(F.explode(F.array("a", "b")).alias("sid")).join(labels, "sid", "left_anti").distinct().select("sid", F.col("sid").alias("comp")))
+    out = known.join(over, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("top", "comp").alias("comp"))
+    return stage_table(out, "labels")
+
+
 def with_component_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The smallest doc_id of each row's component; empty sets and rows without an id stand alone."""
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
