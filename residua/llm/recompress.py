@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm.common import SPACE_WORDS, WordHash, documents_in, mix, stage_table, steps, word_spans
-from residua.llm.suffixes import pointer, repeated_beginnings, same_document
+from residua.llm.suffixes import CONTEXTS, once_per_document, pointer, repeated_beginnings, same_document
 
 WINDOW = 20
 #: Rounds of pair naming; after four a symbol stands for three words on average and depends on ten.
@@ -159,15 +159,15 @@ class Windows:
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(context, at): the stretch of each group of windows, and a hash that points to its document."""
+    """(context, at, many): the stretch of each group of windows, once per document, and a hash that points to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch, data, offsets in steps(batches):
             w = Windows(data, offsets, hasher)
-            yield pa.RecordBatch.from_arrays([pa.array(w.stretch.view(np.int64)), batch.column("at").take(pa.array(w.doc))], ["context", "at"])
+            yield once_per_document(batch, w.doc, w.stretch)
 
-    return docs.select("text", pointer().alias("at")).mapInArrow(run, "context long, at long")
+    return docs.select("text", pointer().alias("at")).mapInArrow(run, CONTEXTS)
 
 
 _PLACE = "doc_id long, doc_key long, begin long"

@@ -86,15 +86,31 @@ def picked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def beginnings(docs: DataFrame) -> DataFrame:
-    """(context, at) of every suffix; at is a hash of the document's id and text (equal ones only let more pass)."""
+    """(context, at, many) of every suffix, once per document, with whether the document holds it more than once.
+
+    at is a hash of the document's id and text (equal ones only let more pass).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
             doc, _, _, _, context = picked(data, offsets)
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), batch.column("at").take(doc)], ["context", "at"])
+            yield once_per_document(batch, doc, context)
+
+    return docs.select("text", pointer().alias("at")).mapInArrow(run, CONTEXTS)
+
 
-    return docs.select("text", pointer().alias("at")).mapInArrow(run, "context long, at long")
+CONTEXTS = "context long, at long, many boolean"
+
+
+def once_per_document(batch: pa.RecordBatch, doc: np.ndarray, context: np.ndarray) -> pa.RecordBatch:
+    """CONTEXTS rows: a document's equal contexts are summed up before any exchange."""
+    order = np.lexsort((context, doc))
+    c, d = context[order], doc[order]
+    new = np.ones(len(c) + 1, bool)
+    new[1:-1] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(new[:-1])
+    many = ~new[first + 1]
+    return pa.RecordBatch.from_arrays([pa.array(c[first].view(np.int64)), batch.column("at").take(pa.array(d[first])), pa.array(many)], ["context", "at", "many"])
 
 
 def pointer():
@@ -102,7 +118,10 @@ def pointer():
 
 
 def repeated_beginnings(found: DataFrame) -> DataFrame:
-    """The rows of found whose context another row has too: one exchange, streamed in sorted order."""
+    """The rows of found whose context another row has too, or their document more than once.
+
+    One exchange, streamed in sorted order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -115,7 +134,7 @@ def repeated_beginnings(found: DataFrame) -> DataFrame:
             same = np.zeros(len(c) + 1, bool)
             same[1:-1] = c[1:] == c[:-1]
             same[0] = last is not None and c[0] == last
-            keep = same[:-1] | same[1:]
+            keep = same[:-1] | same[1:] | rows.column("many").to_numpy()
             # The last row waits for the next batch, unless it is known to repeat.
             held = None if keep[-1] else rows.slice(len(c) - 1, 1).to_batches()[0]
             last = c[-1] if keep[-1] else None
