@@ -49,8 +49,8 @@ BEST, HUB_ROUNDS = 2, 1
 FEW = 6
 #: Members of a signature that are compared in one block.
 BLOCK = 1500
-#: Bits of a parity sketch: a fixed number that travels with signatures, and at most so many for large sets.
-THIN_BITS, SKETCH_BITS = 1024, 4096
+#: Most bits of a parity sketch.
+SKETCH_BITS = 4096
 #: A table of keys is broadcast up to so many rows (8 bytes each); beyond, it is joined by exchange.
 BROADCAST_KEYS = 500_000
 
@@ -121,8 +121,8 @@ def signatures(s: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity of the number of hashes in each of many cells; two sets differ at least where bits do."""
-    bits = THIN_BITS
-    while bits < 2 * len(s) and bits < SKETCH_BITS:
+    bits = 64
+    while bits < len(s) and bits < SKETCH_BITS:
         bits *= 2
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -136,25 +136,20 @@ def _folded(a: np.ndarray, words: int) -> np.ndarray:
     return a
 
 
-def thin(bits: bytes) -> bytes:
-    return _folded(np.frombuffer(bits, "<u8"), THIN_BITS // 64).tobytes()
-
-
 def classes_of(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, n_shingles, sid and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch, data, offsets in steps(batches):
-            n, sid, bits, few = [], [], [], []
+            n, sid, bits = [], [], []
             for s in sets_in(data, offsets, hasher):
                 n.append(len(s))
                 sid.append(set_id(s))
                 bits.append(sketch(s))
-                few.append(thin(bits[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(few, pa.binary())], ["doc_id", "doc_key", "n_shingles", "sid", "sketch", "thin"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "doc_key", "n_shingles", "sid", "sketch"])
 
-    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_shingles long, sid long, sketch binary, thin binary")
+    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_shingles long, sid long, sketch binary")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -276,7 +271,7 @@ def components(links: DataFrame, node: str = "sid") -> DataFrame:
 def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Pairs (a, b) within signatures of at most FEW members that differ in component and may be similar by size and sketch.
 
-    rows: sig, sid, comp, n_shingles, thin. One exchange by signature; runs are compared
+    rows: sig, sid, comp, n_shingles, sketch. One exchange by signature; runs are compared
     with themselves, moved by one, two, ... places.
     """
     num, den = similarity.numerator, similarity.denominator
@@ -286,13 +281,30 @@ def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame
 
         def found(t: pa.Table) -> pa.RecordBatch:
             sig, sid, comp, n = (t.column(c).to_numpy() for c in ("sig", "sid", "comp", "n_shingles"))
-            bits = np.frombuffer(b"".join(t.column("thin").to_pylist()), "<u8").reshape(len(sig), THIN_BITS // 64)
+            column = t.column("sketch").combine_chunks().cast(pa.large_binary())
+            column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+            _, ends, data = column.buffers()
+            begin = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] // 8
+            flat = np.frombuffer(data, "<u8", int(begin[-1])) if data and begin[-1] else np.zeros(0, np.uint64)
+            begin, size = begin[:-1], np.diff(begin)
+
+            def folded(rows: np.ndarray, words: int) -> np.ndarray:
+                """Similar sizes have sketches of equal or next size; the larger is folded once."""
+                at = begin[rows][:, None] + np.arange(words)
+                out, big = flat[at], size[rows] > words
+                out[big] ^= flat[at[big] + words]
+                return out
+
             out = []
             for d in range(1, FEW):
                 i = np.flatnonzero((sig[d:] == sig[:-d]) & (comp[d:] != comp[:-d]) & (n[d:] * den >= num * n[:-d]) & (n[:-d] * den >= num * n[d:])) if len(sig) > d else np.zeros(0, np.int64)
-                # difference <= (1 - t) / (1 + t) * total, in whole numbers
-                i = i[np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[i] + n[i + d])]
-                out.append(np.stack([np.minimum(sid[i], sid[i + d]), np.maximum(sid[i], sid[i + d])], axis=1))
+                low = np.minimum(size[i], size[i + d])
+                for words in np.unique(low).tolist():
+                    x = i[low == words]
+                    # difference <= (1 - t) / (1 + t) * total, in whole numbers
+                    x = x[np.bitwise_count(folded(x, words) ^ folded(x + d, words)).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[x] + n[x + d])]
+                    out.append(np.stack([np.minimum(sid[x], sid[x + d]), np.maximum(sid[x], sid[x + d])], axis=1))
+            out.append(np.zeros((0, 2), np.int64))
             both = np.unique(np.concatenate(out), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -315,7 +327,7 @@ def across_components(shared: DataFrame, labels: DataFrame, sketches: DataFrame,
     rows = shared.select("sig", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
     mixed = stage_table(mixed, "mixed")
-    few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(sketches.select("sid", "n_shingles", "thin"), "sid")
+    few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(sketches.select("sid", "n_shingles", "sketch"), "sid")
     many = rows.join(mixed.where(F.col("members") > FEW), "sig").join(sketches.select("sid", "n_shingles", "sketch"), "sid")
     return close_pairs(few, similarity).unionByName(in_blocks(many, similarity)).distinct()
 
@@ -366,7 +378,7 @@ def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFr
     rows = stage_table(classes_of(docs), "sets")
     shared = stage_table(shared_signatures(signed(docs)), "shared")
     weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch", "thin")).alias("r")).select("sid", "r.*")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch")).alias("r")).select("sid", "r.*")
     wanted = stage_table(weights.select("sid").join(classes, "sid"), "classes")
     keys = wanted.select("sid", F.col("doc_id").alias("k_id"), F.col("doc_key").alias("k_key"))
     d = documents_in(docs)
@@ -379,7 +391,7 @@ def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFr
         fresh = stage_table(hub_pairs(shared, weights, labels, 1).join(tested, ["a", "b"], "left_anti"), "tested")
         tested = tested.union(fresh)
         labels = joined(labels, stage_table(verified(fresh, texts, similarity), "links"))
-    rest = stage_table(across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch", "thin"), similarity).join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = stage_table(across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(tested, ["a", "b"], "left_anti"), "rest")
     labels = joined(labels, stage_table(verified(rest, texts, similarity), "links"))
     return with_component_ids(rows, labels)
 
