@@ -6,7 +6,7 @@ text holds twice or more. Across documents: lines are normalised (words lower-ca
 joined by single spaces) and hashed; for each host (the source column) the distinct
 documents that hold a line are counted, where documents of equal text count once. A
 line above the limit is boilerplate; a document whose text is mostly boilerplate is
-depleted and goes.
+depleted and goes. The documents that stay lose their boilerplate lines (keep_good).
 
 The limit is a share of the host's distinct documents, so the rule behaves alike at
 every size. The text is read once, into a narrow table of one row per document; counts
@@ -14,7 +14,8 @@ are summed map-side per (host, line, text) and then per (host, line), so a host
 line that holds a third of all rows is spread over as many tasks as any other.
 
 Null text: no words, so the base rules fail. Null source: a host of its own. Rows with
-equal doc_id and text are one document: each of them gets the same result.
+equal doc_id and text are one document: each of them gets the same result (where they
+stand under several hosts, the lines that are boilerplate on any of these go).
 """
 
 from __future__ import annotations
@@ -64,11 +65,15 @@ def words_in_repeats(hashes: Column) -> Column:
     return F.aggregate(let(let(ordered, positions), step), F.lit(0), lambda a, x: a + x)
 
 
+def normal(line: Column) -> Column:
+    """(hash, words) of a normalised line."""
+    return let(words_of(F.lower(line)), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("words")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """One narrow row per document: its measures, and (hash, words) of each distinct normalised line."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
-    normal = lambda x: let(words_of(F.lower(x)), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("words")))
     base = docs.select("doc_id", doc_key().alias("doc_key"), F.col("source").alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
     n = F.size("words")
     counted = base.select(
@@ -96,19 +101,19 @@ def boilerplate_lines(lines: DataFrame, share: float = LINE_SHARE, least: int =
     return over.where(F.col("docs") > share * F.col("host_docs")).select("f.host", "f.line")
 
 
-def quality_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS, depleted: float = DEPLETED_SHARE) -> DataFrame:
-    """A row per row of docs: the measures, base_failed, n_boilerplate_words and kept."""
+def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS, depleted: float = DEPLETED_SHARE) -> DataFrame:
+    """A row per row of docs: the measures, base_failed, n_boilerplate_words, kept, and the hashes of its boilerplate lines (null: none)."""
     rows = stage_table(measured(docs), "quality")
     over = boilerplate_lines(rows, share, least)
     lines = rows.select("doc_id", "doc_key", "host", F.explode("lines").alias("x")).select("doc_id", "doc_key", "host", "x.line", "x.words").alias("l")
     lost = (
         lines.join(over.alias("o"), (F.col("l.line") == F.col("o.line")) & F.col("l.host").eqNullSafe(F.col("o.host")), "left_semi")
         .groupBy("doc_id", "doc_key", "host", "line").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
-        .groupBy("doc_id", "doc_key").agg(F.max("host").alias("host"), F.sum("w").alias("lost"))
+        .groupBy("doc_id", "doc_key").agg(F.max("host").alias("host"), F.sum("w").alias("lost"), F.array_sort(F.collect_set("line")).alias("over_lines"))
     )
     copies = rows.groupBy("doc_id", "doc_key").agg(F.count("*").alias("copies"))
     lost = lost.drop("host").alias("a").join(copies.alias("c"), F.col("a.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("a.doc_key") == F.col("c.doc_key")))
-    lost = lost.select(F.col("a.doc_id"), F.col("a.doc_key"), (F.col("lost") / F.col("copies")).alias("lost"))
+    lost = lost.select(F.col("a.doc_id"), F.col("a.doc_key"), (F.col("lost") / F.col("copies")).alias("lost"), "over_lines")
     r, x = rows.drop("lines").alias("r"), lost.alias("x")
     joined = r.join(x, F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("r.doc_key") == F.col("x.doc_key")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -116,17 +121,33 @@ def quality_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_
     return joined.select(
         "r.doc_id", "r.doc_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), gone.cast("long").alias("n_boilerplate_words"),
-        (~failed & (gone <= depleted * F.col("n_words"))).alias("kept"),
+        (~failed & (gone <= depleted * F.col("n_words"))).alias("kept"), "over_lines",
     )
 
 
+def quality_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS, depleted: float = DEPLETED_SHARE) -> DataFrame:
+    """A row per row of docs: the measures, base_failed, n_boilerplate_words and kept."""
+    return judged(docs, share, least, depleted).drop("over_lines")
+
+
 def quality_digest(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).drop("doc_key")
 
 
+def without_lines(text: Column, over: Column) -> Column:
+    """text without the lines whose normalised hash is in over; all else stays byte by byte."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(over, normal(x)["line"])), "\n")
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject."""
-    kept = quality_rules(docs).where("kept").select("doc_id", "doc_key").distinct()
+    """docs without the rows that the rules reject, and without boilerplate lines in those that stay; n_chars follows."""
+    kept = judged(docs).where("kept").select("doc_id", "doc_key", "over_lines").distinct()
     d = docs.withColumn("_doc_key", doc_key()).alias("d")
     k = kept.alias("k")
-    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._doc_key") == F.col("k.doc_key")), "left_semi").drop("_doc_key")
+    rows = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._doc_key") == F.col("k.doc_key")))
+    cut = F.col("k.over_lines").isNotNull()
+    text = F.when(cut, without_lines(F.col("d.text"), F.col("k.over_lines"))).otherwise(F.col("d.text"))
+    # The number of characters is taken from the text that is left, which is cut once.
+    rows = rows.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], cut.alias("_cut"))
+    n_chars = lambda c: F.when(F.col("_cut"), F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+    return rows.select(*[n_chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

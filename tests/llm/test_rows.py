@@ -137,6 +137,25 @@ def test_boilerplate_lines(spark):
     assert kept.columns == docs.columns and kept.count() == 30 + 50 + 5 + 2
 
 
+def test_boilerplate_lines_go(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    hot, near = "Accept  All cookies of\tthis site", "twenty documents of a host hold this line"
+    rows = [(i, f"{hot.upper() if i % 2 else hot}\r\n\n  {say(30)} \n{near if i < 20 else 'no'}\n{hot}\n", "a" if i < 40 else None) for i in range(80)]
+    rows += [(100 + i, f"{hot}\n{say(30)}", "b") for i in range(3)] + [(200, f"{hot}\n{say(3)}", "a"), (300, rows[0][1], "a"), (0, rows[0][1], "a"), (400, None, "a")]
+    docs = spark.createDataFrame([(*x, None if x[1] is None else len(x[1])) for x in rows], "doc_id long, text string, source string, n_chars int")
+    normal = lambda x: " ".join(w.lower() for w in brute.SPACE.findall(x))
+    texts = {h: {t for _, t, x in rows if x == h} for h in ("a", "b", None)}
+    held = lambda h, x: sum(x in map(normal, (t or "").split("\n")) for t in texts[h])
+    over = {(h, x): held(h, x) > max(quality_rules.LINE_DOCS, quality_rules.LINE_SHARE * len(texts[h])) for h in texts for x in {normal(y) for t in texts[h] for y in (t or "").split("\n")} - {""}}
+    want = sorted((d, "\n".join(x for x in t.split("\n") if not over.get((h, normal(x)))), h or "") for d, t, h in rows if d not in (200, 400))
+    out = quality_rules.keep_good(docs)
+    assert out.schema == docs.schema
+    assert sorted((x.doc_id, x.text, x.source or "") for x in out.collect()) == want
+    assert out.where("n_chars <> char_length(text)").count() == 0
+    assert sum(over.values()) >= 2 and not any("cookies" in t.lower() for d, t, _ in want if d < 80) and sum(near in t for _, t, _ in want) == 22
+
+
 def test_classifier(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = quality_model.quality_scores(docs, labels)
