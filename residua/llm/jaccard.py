@@ -373,8 +373,8 @@ def in_blocks(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     return rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """A row per row of docs: doc_id, doc_key, n_shingles, component_id."""
+def jaccard_members(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """A row per row of docs: doc_id, doc_key, n_shingles, and comp, the component's own key (null: stands alone)."""
     rows = stage_table(classes_of(docs), "sets")
     shared = stage_table(shared_signatures(signed(docs)), "shared")
     weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
@@ -393,7 +393,12 @@ def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFr
         labels = joined(labels, stage_table(verified(fresh, texts, similarity), "links"))
     rest = stage_table(across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(tested, ["a", "b"], "left_anti"), "rest")
     labels = joined(labels, stage_table(verified(rest, texts, similarity), "links"))
-    return with_component_ids(rows, labels)
+    return with_components(rows, labels)
+
+
+def jaccard_groups(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """A row per row of docs: doc_id, doc_key, n_shingles, component_id."""
+    return with_component_ids(jaccard_members(docs, similarity))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -409,11 +414,15 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage_table(out, "labels")
 
 
-def with_component_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The smallest doc_id of each row's component; empty sets and rows without an id stand alone."""
+def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row's component; empty sets and rows without an id stand alone."""
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     named = rows.select("doc_id", "doc_key", "n_shingles", F.when(linked, F.col("sid")).alias("sid")).join(labels, "sid", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "sid"))
+    return named.select("doc_id", "doc_key", "n_shingles", F.coalesce("comp", "sid").alias("comp"))
+
+
+def with_component_ids(named: DataFrame) -> DataFrame:
+    """The smallest doc_id of each row's component; rows without one have their own."""
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(least, "comp", "left").select("doc_id", "doc_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -426,11 +435,11 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (of equal rows, any one)."""
     from residua.llm.common import doc_key
 
-    rows = jaccard_groups(docs)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Different texts under one id: the one with the smallest key. Rows without an id all stay.
-    kept = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("doc_key").alias("doc_key")).alias("k")
+    rows = jaccard_members(docs).where("doc_id is not null")
+    # Different texts under one id: the one with the smallest key, if they are of one group. Rows without an id all stay.
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "doc_key")).alias("r")).select("r.*")
+    kept = least.union(rows.where("comp is null").select("doc_id", "doc_key").distinct()).alias("k")
     d = docs.withColumn("_doc_key", doc_key()).alias("d")
     named = d.where("doc_id is not null").join(kept, (F.col("d.doc_id") == F.col("k.doc_id")) & F.col("d._doc_key").eqNullSafe(F.col("k.doc_key")), "left_semi")
-    single = named.dropDuplicates(["doc_id"])
+    single = named.dropDuplicates(["doc_id", "_doc_key"])
     return single.unionByName(d.where("doc_id is null")).drop("_doc_key")
