@@ -4,21 +4,22 @@ Words are runs of letters a-z (A-Z lower-cased), digits and non-ASCII characters
 
 Phrases: a label's phrase is found wherever its words stand consecutively.
 
-Templates: a block (a line of the text) meets a template if it holds at least
-THRESHOLD of the template's distinct words. The join is exact:
+Templates: a text meets a template if a window of as many consecutive words as the
+template has, over line breaks, holds at least THRESHOLD of the template's distinct
+words (a shorter text is one window). The join is exact:
 
 * the templates' words are ordered by how many documents hold them, rarest first (one
   pass over all texts, counted map-side; as many counts as the templates have words);
-* a block that holds `need` of a template's words holds one of its first
-  size - need + 1 words in that order, so only blocks with such a prefix word go on
+* a window that holds `need` of a template's words holds one of its first
+  size - need + 1 words in that order, so only texts with such a prefix word go on
   (an IN filter inside the scan, then an equi join on the word);
-* length filter: blocks with fewer than `need` template words go;
-* positional filter: at the first common word, what is left of either side bounds the
-  overlap, and pairs that can't reach `need` go;
-* what remains is verified by the size of the intersection.
+* length filter: texts with fewer than `need` of the template's words go;
+* positional filter: a window begins with a word of the template, and the `need`-th
+  of these from there must lie inside it;
+* what remains is verified by the distinct words in the window.
 
 The templates are a parameter of bounded size (checked), so their side of the join is
-broadcast; texts are never shuffled, only the few blocks that pass the prefix filter.
+broadcast; texts are never shuffled, only the few pairs that are verified.
 
 Null text is empty: no words, no labels, score 0. Rows with equal doc_id and text are
 one document: each of them gets the same result. score is the largest containment of
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from residua.llm.common import doc_key
 from residua.llm.quality_rules import let
@@ -69,47 +69,59 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def template_words(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per template: label, words rarest first, need, prefix."""
+    """A row per template: label, words rarest first, need, prefix, and its length in words."""
     spark = docs.sparkSession
-    given = spark.createDataFrame(list(templates), "label string, text string").select("label", F.array_distinct(F.array_remove(F.split(spaced(F.col("text")), " "), "")).alias("words"))
+    given = spark.createDataFrame(list(templates), "label string, text string").select("label", F.array_remove(F.split(spaced(F.col("text")), " "), "").alias("words"))
+    given = given.select("label", F.size("words").alias("length"), F.array_distinct("words").alias("words"))
     vocabulary = sorted({w for r in given.collect() for w in r.words})
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have {len(vocabulary)} words; at most {MAX_TEMPLATE_WORDS} can be joined by broadcast")
     held = F.filter(F.array_distinct(F.split(spaced(F.col("text")), " ")), lambda w: w.isin(vocabulary))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    ranked = given.select("label", F.explode("words").alias("word")).join(F.broadcast(counts), "word", "left")
+    ranked = given.select("label", "length", F.explode("words").alias("word")).join(F.broadcast(counts), "word", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")))
-    words = ranked.groupBy("label").agg(F.transform(order, lambda x: x["word"]).alias("words"))
+    words = ranked.groupBy("label").agg(F.transform(order, lambda x: x["word"]).alias("words"), F.max("length").alias("length"))
     need = F.ceil(F.size("words") * F.lit(threshold) - 1e-9).cast("int")
-    return words.select("label", "words", need.alias("need"), F.slice("words", 1, F.size("words") - need + 1).alias("prefix"))
+    return words.select("label", "words", need.alias("need"), F.slice("words", 1, F.size("words") - need + 1).alias("prefix"), "length")
 
 
-def matching_blocks(docs: DataFrame, templates: list) -> DataFrame:
-    """doc_id, doc_key, label and containment of every block that meets a template."""
+def most_in_window(at: Column, length: Column, need: Column) -> Column:
+    """Most distinct words in a window of `length` words, null if under `need`. at: the template's words in the text, with their places i."""
+    reached = lambda k: F.coalesce(F.get(at, k + need - 1)["i"] - F.get(at, k)["i"] < length, F.lit(False))
+    starts = F.filter(F.transform(at, lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))), lambda x: reached(x["k"]))
+    inside = lambda x: F.filter(F.slice(at, x["k"] + 1, length), lambda y: y["i"] < x["i"] + length)
+    sizes = F.transform(starts, lambda x: F.size(F.array_distinct(F.transform(inside(x), lambda y: y["word"]))))
+    return F.array_max(F.filter(sizes, lambda n: n >= need))
+
+
+def matching_texts(docs: DataFrame, templates: list) -> DataFrame:
+    """doc_id, doc_key, label and containment of every text that meets a template."""
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.words})
     first = sorted({w for t in templates for w in t.prefix})
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("label", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("template", T.ArrayType(T.StringType()))])
-    prefixes = spark.createDataFrame([(w, t.label, i, t.need, t.words) for t in templates for i, w in enumerate(t.prefix)], schema)
-    block = F.explode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")).alias("block")
-    blocks = docs.select("doc_id", doc_key().alias("doc_key"), block).where(F.length("block") > 0)
-    held = F.filter(F.array_distinct(F.split(F.col("block"), _BREAKS)), lambda w: w.isin(vocabulary))
-    # Filtered inside the generator, so that the words of a block are cut once.
+    schema = "word string, label string, at int, need int, template array<string>, length int"
+    prefixes = spark.createDataFrame([(w, t.label, i, t.need, t.words, t.length) for t in templates for i, w in enumerate(t.prefix)], schema)
+    # Places only matter by their differences: an empty string before the first word or after the last changes none.
+    words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), _BREAKS)
+    held = let(words, lambda ws: F.struct(ws.alias("words"), F.filter(F.array_distinct(ws), lambda w: w.isin(vocabulary)).alias("held")))
+    # Filtered inside the generator, so that the words of a text are cut once.
     least = min((t.need for t in templates), default=0)
-    passing = F.filter(F.array(held), lambda h: (F.size(h) >= least) & F.exists(h, lambda w: w.isin(first)))
-    held = blocks.select("doc_id", "doc_key", F.explode(passing).alias("held"))
-    pairs = held.select("doc_id", "doc_key", "held", F.explode(F.filter("held", lambda w: w.isin(first))).alias("word")).join(F.broadcast(prefixes), "word")
-    pairs = pairs.where(F.size("held") >= F.col("need"))
-    # The common word is the first if no earlier word of the template is in the block; then the rest bounds the overlap.
+    passing = F.filter(F.array(held), lambda x: (F.size(x["held"]) >= least) & F.exists(x["held"], lambda w: w.isin(first)))
+    rows = docs.select("doc_id", doc_key().alias("doc_key"), F.explode(passing).alias("x"))
+    places = F.filter(F.transform("x.words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda y: y["word"].isin(vocabulary))
+    rows = rows.select("doc_id", "doc_key", F.col("x.held").alias("held"), places.alias("places"))
+    pairs = rows.select("doc_id", "doc_key", "held", "places", F.explode(F.filter("held", lambda w: w.isin(first))).alias("word")).join(F.broadcast(prefixes), "word")
+    # Once for each template: by the first of its words that the text holds.
     is_first = ~F.arrays_overlap(F.slice("template", 1, F.col("at")), F.col("held"))
-    pairs = pairs.where(is_first & (F.size("template") - F.col("at") >= F.col("need")))
-    both = pairs.withColumn("both", F.size(F.array_intersect("template", "held"))).where(F.col("both") >= F.col("need"))
-    return both.select("doc_id", "doc_key", "label", (F.col("both") / F.size("template")).alias("containment"))
+    pairs = pairs.where(is_first & (F.size(F.array_intersect("template", "held")) >= F.col("need")))
+    own = F.filter("places", lambda y: F.array_contains("template", y["word"]))
+    both = pairs.select("doc_id", "doc_key", "label", F.size("template").alias("size"), let(own, lambda at: most_in_window(at, F.col("length"), F.col("need"))).alias("both"))
+    return both.where("both is not null").select("doc_id", "doc_key", "label", (F.col("both") / F.col("size")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = matching_blocks(docs, template_words(docs, templates, threshold).collect())
+    found = matching_texts(docs, template_words(docs, templates, threshold).collect())
     found = found.groupBy("doc_id", "doc_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     line = spaced(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", doc_key().alias("doc_key"), line.alias("line"))

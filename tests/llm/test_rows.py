@@ -109,6 +109,41 @@ def test_licenses(spark):
     assert licenses.license_scan(extra(spark, ["a"]).limit(0)).count() == 0
 
 
+def wrapped_notices(seed=9):
+    """Notices over several lines, with words lost, put in or scattered, and between other words."""
+    import textwrap
+
+    r = random.Random(seed)
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        texts += ["# " + "\n# ".join(textwrap.wrap(t, 50)), "intro words\n\n" + "\r\n * ".join(textwrap.wrap(t.upper(), 75)) + "\nmore", " ".join(x + " filler" * 400 for x in t.split()), "\n".join(t.split())]
+        for _ in range(40):
+            w = [x for x in t.split() if r.random() > r.choice([0, 0.1, 0.2, 0.3])]
+            for _ in range(r.choice([0, 1, 3, 8])):
+                w.insert(r.randrange(len(w) + 1), r.choice(["the", "other", "License", "of"]))
+            w = ["of the"] * r.randint(0, 20) + w + ["this is"] * r.randint(0, 20)
+            texts.append("".join(x + r.choice([" ", " ", "\n", "\n// "]) for x in w))
+    return texts
+
+
+def test_license_notices_over_lines(spark):
+    texts = wrapped_notices() + license_texts()
+    rows = got(licenses.license_scan(extra(spark, texts)))
+    cut = lambda t: brute.ALNUM.findall((t or "").translate(brute.UP))
+    templates = [(label, cut(t), set(cut(t))) for label, t in licenses.TEMPLATES]
+    for i, t in enumerate(texts):
+        w, share = cut(t), {}
+        for label, running, words in templates:
+            most = max(len(words & set(w[k : k + len(running)])) for k in range(max(1, len(w) - len(running) + 1)))
+            if most >= licenses.THRESHOLD * len(words) - 1e-9:
+                share[label] = most / len(words)
+        assert set(filter(None, rows[i][5].split(","))) == share.keys() | set(filter(None, rows[i][4].split(",")))
+        assert abs(rows[i][6] - (1 if rows[i][1] else max(share.values(), default=0))) < 1e-12
+    per = 4 + 40
+    for k, (label, *_) in enumerate(templates):
+        assert all(label in rows[k * per + x][5].split(",") for x in (0, 1, 3)) and label not in rows[k * per + 2][5].split(",")
+
+
 def quality_texts(seed=8):
     return ODD + [t for _, t in corpus(seed, n=120)] + ["a b\nc d\na b\n\n \nc d\n# $ |", "x y z " * 40]
 
