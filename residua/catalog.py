@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from residua.plans import catalog_features, catalog_models, catalog_tables
+from residua.plans import catalog_features, catalog_models, catalog_structures, catalog_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (catalog_features, catalog_models, catalog_tables):
+for part in (catalog_features, catalog_models, catalog_structures, catalog_tables):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.operators.graph import written
+from residua.operators.ranges import least_by_hash, numbered_by_range
+
 
 def split_rows(rows: DataFrame, train: float = 0.9, seed: int = 42, key: str = "structure") -> tuple[DataFrame, DataFrame]:
     """Train and validation rows: exactly the rounded share, by a seeded hash order of the key."""
     n = rows.count()
-    held = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n - round(n * train))
+    held = least_by_hash(rows, n - round(n * train), key, seed=seed)
     return rows.join(held.select(key), key, "left_anti"), held
 
 
 def index_maps(train: DataFrame, held: DataFrame, key: str = "structure") -> DataFrame:
-    """name, part, loop_index (place in its part) and source_index (place among all), both by name order.
-
-    Ordinals come from ordered writes of one row per structure.
-    """
+    """name, part, loop_index (place in its part) and source_index (place among all), both by name order."""
     both = train.select(key, F.lit("train").alias("part")).unionByName(held.select(key, F.lit("valid").alias("part")))
-    return both.withColumns({"loop_index": F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1, "source_index": F.row_number().over(Window.orderBy(key)) - 1})
+    whole = numbered_by_range(both, key, number="source_index")
+    parts = [numbered_by_range(whole.where(F.col("part") == p), key, number="loop_index") for p in ("train", "valid")]
+    return parts[0].unionByName(parts[1]).select(key, "part", "loop_index", "source_index")
 
 
 def wide(long: DataFrame) -> DataFrame:
@@ -57,22 +62,32 @@ def tree_importances(model: RandomForestClassificationModel, rows: DataFrame) ->
 def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, repeats: int = 10, seed: int = 42, features: int | None = None) -> DataFrame:
     """feature, mean and std of the loss in accuracy when its values are dealt anew among rows.
 
-    Every row meets every (feature, repeat); the dealt value is that of the row at the same
-    place in another seeded order. Orders are windows per (feature, repeat), so no one task
-    orders everything.
+    Rows are numbered by range. A repeat deals them by a one-to-one map of numbers,
+    (a * i + b) mod n with a seeded a that has no divisor in common with n, so each row's
+    donor is a row of the same table, found by one join per repeat; the donor's values then
+    take the row's place feature by feature, next to each other, without another exchange.
     """
-    n = features or model.numFeatures
-    spark = rows.sparkSession
-    grid = spark.range(n * repeats).select((F.col("id") / repeats).cast("int").alias("feature"), (F.col("id") % repeats).cast("int").alias("repeat"))
-    many = rows.select("structure", "label", "x").crossJoin(F.broadcast(grid))
-    place = lambda salt: F.row_number().over(Window.partitionBy("feature", "repeat").orderBy(F.xxhash64("structure", "feature", "repeat", F.lit(seed + salt)), "structure"))
-    many = many.withColumns({"at": place(0), "from": place(1)})
-    given = many.select("feature", "repeat", F.col("from").alias("at"), F.get("x", F.col("feature")).alias("v"))
-    dealt = many.join(given, ["feature", "repeat", "at"]).withColumn("x", F.transform("x", lambda e, i: F.when(i == F.col("feature"), F.col("v")).otherwise(e)))
-    told = predict(model, dealt.select("structure", "label", "feature", "repeat", "x"))
+    n_features = features or model.numFeatures
+    n = rows.count()
     base = predict(model, rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("base"))
-    each = told.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
-    return each.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("accuracy")).alias("mean"), F.stddev_pop(F.col("base") - F.col("accuracy")).alias("std"))
+    numbered = written(numbered_by_range(rows.select("structure", "label", "x"), "structure"))
+    dice, told = random.Random(seed), None
+    for k in range(repeats):
+        a, b = 1, dice.randrange(max(1, n))
+        while n > 2 and (a == 1 or math.gcd(a, n) > 1):
+            a = dice.randrange(2, max(3, min(n, 1 << 30)))
+            if n <= 4:
+                a = n - 1
+        donor = F.pmod(F.col("number") * a + b, F.lit(n))
+        given = numbered.select(F.col("number").alias("from"), F.col("x").alias("v"))
+        pairs = numbered.withColumn("from", donor).join(given, "from")
+        swapped = lambda f: F.transform("x", lambda e, i: F.when(i == f, F.get("v", f)).otherwise(e))
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda f: F.struct(f.alias("feature"), swapped(f).alias("x"))))
+        dealt = pairs.select("structure", "label", each.alias("e")).select("structure", "label", "e.feature", "e.x")
+        right = F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")
+        one = predict(model, dealt).groupBy("feature").agg(right).withColumn("repeat", F.lit(k))
+        told = one if told is None else told.unionByName(one)
+    return told.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("accuracy")).alias("mean"), F.stddev_pop(F.col("base") - F.col("accuracy")).alias("std"))
 
 
 def forest_arrays(model: RandomForestClassificationModel) -> list[dict[str, np.ndarray]]:
@@ -100,48 +115,49 @@ def forest_arrays(model: RandomForestClassificationModel) -> list[dict[str, np.n
 
 
 def tree_attributions(tree: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Base value and additive contributions (features x classes) of one row along its path-dependent game.
+    """Base value (classes) and additive contributions (rows x features x classes) of many rows along their path-dependent game.
 
     For every leaf, the features on its path form a game whose value is the leaf's share
     times, per feature, 1 or 0 where the row decides and the covers' ratio where it does
-    not; the Shapley value of such a product has a closed form by the polynomial of its factors.
+    not; the Shapley value of such a product has a closed form by the polynomial of its
+    factors. All rows of a batch are taken at once.
     """
-    phi = np.zeros((len(x), tree["value"].shape[1]))
+    n = len(x)
+    phi = np.zeros((n, x.shape[1], tree["value"].shape[1]))
     base = np.zeros(tree["value"].shape[1])
     stack = [(0, {})]
     while stack:
         node, path = stack.pop()
         f = tree["feature"][node]
         if f < 0:
-            value, items = tree["value"][node], list(path.items())
-            base += value * np.prod([z for _, (_, z) in items])
-            for i, (feature, (one, zero)) in enumerate(items):
-                if one == zero:
-                    continue
+            value, names = tree["value"][node], list(path)
+            m = len(names)
+            if not m:
+                base += value
+                continue
+            one = np.stack([path[k][0] for k in names])  # features on the path x rows
+            zero = np.array([path[k][1] for k in names])
+            base += value * np.prod(zero)
+            weight = np.array([1.0 / (m * math.comb(m - 1, s)) for s in range(m)])
+            for i, feature in enumerate(names):
                 # Weights of coalitions of the others by size: coefficients of prod(zero + one t).
-                poly = np.ones(1)
-                for j, (_, (o, z)) in enumerate(items):
+                poly = np.zeros((m, n))
+                poly[0] = 1
+                for j in range(m):
                     if j != i:
-                        poly = np.convolve(poly, [z, o])
-                m = len(items)
-                weight = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
-                phi[feature] += (one - zero) * (poly * weight).sum() * value
+                        grown = poly * zero[j]
+                        grown[1:] += poly[:-1] * one[j]
+                        poly = grown
+                phi[:, feature, :] += ((one[i] - zero[i]) * (weight @ poly))[:, None] * value
             continue
-        left, right = tree["left"][node], tree["right"][node]
-        goes = x[f] <= tree["threshold"][node]
-        for child, hot in ((left, goes), (right, not goes)):
-            one, zero = path.get(f, (1.0, 1.0))
+        goes = x[:, f] <= tree["threshold"][node]
+        for child, hot in ((tree["left"][node], goes), (tree["right"][node], ~goes)):
+            one, zero = path.get(f, (np.ones(n), 1.0))
             share = tree["cover"][child] / max(tree["cover"][node], 1e-300)
             stack.append((child, path | {f: (one * hot, zero * share)}))
     return base, phi
 
 
-def _choose(n: int, k: int) -> int:
-    import math
-
-    return math.comb(n, k)
-
-
 def attributions(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
     """structure, feature, class, phi and base: contributions to each class's share, summing to the prediction.
 
@@ -150,14 +166,16 @@ def attributions(model: RandomForestClassificationModel, rows: DataFrame) -> Dat
     trees = rows.sparkSession.sparkContext.broadcast(forest_arrays(model))
 
     def score(batches):
-        for pdf in batches:
-            out = []
-            for s, x in zip(pdf.structure, pdf.x):
-                both = [tree_attributions(t, np.asarray(x, float)) for t in trees.value]
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                pdf = whole.iloc[at : at + 512]
+                x = np.stack([np.asarray(v, float) for v in pdf.x])
+                both = [tree_attributions(t, x) for t in trees.value]
                 base, phi = sum(b for b, _ in both) / len(both), sum(p for _, p in both) / len(both)
-                out += [(s, i, c, phi[i, c], base[c]) for i in range(phi.shape[0]) for c in range(phi.shape[1])]
-            table = pd.DataFrame(out, columns=["structure", "feature", "class", "phi", "base"])
-            yield table.assign(structure=pd.Series([r[0] for r in out], dtype=object))
+                n, features, classes = phi.shape
+                structure = pd.Series(np.repeat(pdf.structure.to_numpy(object), features * classes), dtype=object)
+                _, f, c = (v.ravel() for v in np.indices(phi.shape))
+                yield pd.DataFrame({"structure": structure, "feature": f, "class": c, "phi": phi.ravel(), "base": np.tile(base, n * features)})
 
     kind = rows.schema["structure"].dataType.simpleString()
     return rows.select("structure", "x").mapInPandas(score, f"structure {kind}, feature int, class int, phi double, base double")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.text import distance
+from residua.operators.ranges import quantiles
 
 
 def tukey_fences(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """rows with q1, q3, iqr, lower, upper and outlier (strictly outside); quartiles are exact, interpolated."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({"lower": F.col("q1") - k * F.col("iqr"), "upper": F.col("q3") + k * F.col("iqr")})
-    return df.crossJoin(F.broadcast(q)).withColumn("outlier", (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
+    q1, q3 = quantiles(df, value, [0.25, 0.75])
+    iqr = None if q1 is None else q3 - q1
+    ends = {"q1": q1, "q3": q3, "iqr": iqr, "lower": iqr if iqr is None else q1 - k * iqr, "upper": iqr if iqr is None else q3 + k * iqr}
+    rows = df.withColumns({c: F.lit(v).cast("double") for c, v in ends.items()})
+    return rows.withColumn("outlier", (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
 
 
 def atom_counts(atoms: DataFrame, atom: str = "CA") -> DataFrame:
@@ -20,7 +23,8 @@ def atom_counts(atoms: DataFrame, atom: str = "CA") -> DataFrame:
 
 
 def count_summary(counts: DataFrame, value: str = "n_atoms") -> DataFrame:
-    return counts.agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    (median,) = quantiles(counts, value, [0.5])
+    return counts.agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")).withColumn("median", F.lit(median).cast("double"))
 
 
 def end_points(points: DataFrame, ord_: str = "ord") -> DataFrame:
@@ -55,7 +59,10 @@ def distance_outliers(distances: DataFrame, cutoff: float = 3.0) -> DataFrame:
 
 
 def distance_summary(distances: DataFrame) -> DataFrame:
-    return distances.agg(*[f(c).alias(f"{n}_{c}") for c in ("first_distance", "last_distance") for n, f in (("mean", F.avg), ("median", F.median))])
+    columns = ("first_distance", "last_distance")
+    medians = {f"median_{c}": F.lit(quantiles(distances, c, [0.5])[0]).cast("double") for c in columns}
+    out = distances.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns]).withColumns(medians)
+    return out.select(*[f"{n}_{c}" for c in columns for n in ("mean", "median")])
 
 
 def curate(points: DataFrame, first_anchor: DataFrame, last_anchor: DataFrame, k: float = 1.5, cutoff: float = 3.0) -> DataFrame:

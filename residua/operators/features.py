@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.operators import alignment as al
+from residua.operators.ranges import quantiles
 
 
 def residue_pairs(rows: DataFrame, pos: str = "pos", structure: str = "structure") -> DataFrame:
@@ -110,4 +111,6 @@ def symmetric_matrix(long: DataFrame, structures: DataFrame | None = None) -> Da
 
 
 def heat_scale(long: DataFrame) -> DataFrame:
-    return long.agg(F.min("value").alias("low"), F.percentile("value", F.lit(0.95)).alias("high"))
+    """low, the least value, and high, the 95 % quantile (exact, interpolated)."""
+    (high,) = quantiles(long, "value", [0.95])
+    return long.agg(F.min("value").alias("low")).withColumn("high", F.lit(high).cast("double"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,21 +9,35 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is named (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="residua-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table that `written` made, once nothing reads it any more."""
+    for name in df.inputFiles()[:1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of an edge (a, b): the smallest node that it is connected with.
 
@@ -38,6 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
         after = written(low.join(jump, "component").select("node", "was", F.least("component", "far").alias("component")))
+        dropped(edges.sparkSession, labels)
         labels = after.select("node", "component")
         if after.where("component <> was").isEmpty():
             return labels

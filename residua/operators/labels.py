@@ -68,6 +68,11 @@ def lookup_label(rows: DataFrame, labels: DataFrame, name: str, label_name: str,
     return out.select(*rows.columns, F.coalesce("_label", F.lit(default)).alias("label"), F.col("_label").isNotNull().alias("found"))
 
 
+def unmatched_by_part(rows: DataFrame, part: str = "part") -> DataFrame:
+    """Per part of a split: rows, and how many found no label. rows: what lookup_label gave."""
+    return rows.groupBy(part).agg(F.count("*").alias("n"), F.count_if(~F.col("found")).alias("unmatched"))
+
+
 def with_ordinal_map(rows: DataFrame, split: DataFrame, ordinal: str = "source_index") -> DataFrame:
     """split (loop_index, source_index) joined with rows by their ordinal."""
     return split.join(rows, ordinal)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from residua.operators.ranges import least_by_hash
+
 
 def anova_f(long: DataFrame, feature: str = "feature", label: str = "label", value: str = "value") -> DataFrame:
     """One-way ANOVA F per feature over rows with a value and a label.
@@ -97,10 +99,8 @@ def low_variance(stats: DataFrame, threshold: float = 0.1, inclusive: bool = Fal
 
 def balanced(rows: DataFrame, label: str = "label", key: str = "structure", seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, by a seeded hash order of the key."""
-    classes = rows.groupBy(label).agg(F.count("*").alias("n"))
-    least = classes.agg(F.min("n").alias("least"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("_rank", rank).crossJoin(F.broadcast(least)).where(F.col("_rank") <= F.col("least")).drop("_rank", "least")
+    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first().n or 0
+    return least_by_hash(rows, least, key, seed=seed, by=(label,))
 
 
 def correlated_pairs(dense: DataFrame, threshold: float) -> DataFrame:
@@ -152,18 +152,30 @@ def gram_pairs(dense: DataFrame, threshold: float, block: int = 512) -> DataFram
                 out.append((a.T @ b).ravel().tolist())
             yield pd.DataFrame({"i": pdf.i, "j": pdf.j, "g": out})
 
+    def edges_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sum a block pair's products over all chunks; only pairs over the threshold come out."""
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        r = np.sum(np.stack([np.asarray(g) for g in pdf.g]), axis=0).reshape(block, block) / (n_structures - 1)
+        p, q = np.nonzero(r > threshold)
+        keep = i * block + p < j * block + q
+        return pd.DataFrame({"p": i * block + p[keep], "q": j * block + q[keep], "r": r[p[keep], q[keep]]})
+
     parts = left.join(right, "chunk").where("i <= j").select("i", "j", "u", "v").mapInPandas(product, "i int, j int, g array<double>")
-    cell = parts.select("i", "j", F.posexplode("g").alias("k", "g")).groupBy("i", "j", "k").agg(F.sum("g").alias("g"))
-    r = cell.select((F.col("i") * block + (F.col("k") / block).cast("int")).alias("p"), (F.col("j") * block + F.col("k") % block).alias("q"), (F.col("g") / (n_structures - 1)).alias("r"))
-    edges = r.where((F.col("p") < F.col("q")) & (F.col("r") > threshold))
+    # Two rounds: sums of a few chunks each, then of those, so that no task holds more than some hundred block squares.
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf.i.iloc[:1], "j": pdf.j.iloc[:1], "g": [np.sum(np.stack([np.asarray(g) for g in pdf.g]), axis=0)]})
+
+    few = max(1, int((n_structures / 2048) ** 0.5))
+    some = parts.withColumn("s", (F.rand(1) * few).cast("int")).groupBy("i", "j", "s").applyInPandas(summed, "i int, j int, g array<double>")
+    edges = some.groupBy("i", "j").applyInPandas(edges_of, "p long, q long, r double")
     name = number.select("at", "feature")
     return edges.join(name.select(F.col("at").alias("p"), F.col("feature").alias("a")), "p").join(name.select(F.col("at").alias("q"), F.col("feature").alias("b")), "q").select("a", "b", "r")
 
 
-def correlation_groups(dense: DataFrame, threshold: float = 0.90, many: bool = False) -> DataFrame:
+def correlation_groups(dense: DataFrame, threshold: float = 0.90, many: bool = True) -> DataFrame:
     """component, feature (the one of largest std) and members, for every connected group of correlated features.
 
-    Features without a partner are groups of one.
+    many=False takes the self-join instead of block products: simpler for few features. Features without a partner are groups of one.
     """
     from residua.operators.graph import components
 

@@ -87,13 +87,13 @@ def imputation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("imputed_pct", F.round("imputed_pct", 6))
 
 
-@query(LONG + """, s AS (SELECT structure, feature, label, value FROM l WHERE (structure * 7 + feature) % 5 <> 0), st AS (SELECT DISTINCT structure, label FROM l WHERE label <> 0),
+@query(LONG + """, s AS (SELECT structure, feature, label, value FROM l WHERE value <= 0.15), st AS (SELECT DISTINCT structure, label FROM s),
 md AS (SELECT feature, median(value) AS fill FROM s GROUP BY ALL), fe AS (SELECT DISTINCT feature FROM s)
 SELECT st.structure, fe.feature, st.label, round(coalesce(s.value, md.fill), 8) AS value, s.value IS NULL AS imputed
 FROM st CROSS JOIN fe LEFT JOIN s ON s.structure = st.structure AND s.feature = fe.feature JOIN md ON md.feature = fe.feature""")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = embedding_features(spark, sf_dir).where("(structure * 7 + feature) % 5 <> 0").withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
-    return features.feature_matrix(long).select("structure", "feature", "label", F.round("value", 8).alias("value"), "imputed")
+    measured = masked(spark, sf_dir).where("value is not null")
+    return features.feature_matrix(measured).select("structure", "feature", "label", F.round("value", 8).alias("value"), "imputed")
 
 
 @query(LONG + """, c AS (SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS r FROM l a JOIN l b ON a.structure = b.structure AND a.feature < b.feature GROUP BY ALL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from residua.functions.text import file_stem, residue_letters
+from residua.operators.ranges import numbered_by_range
 
 MANIFEST = T.StructType([T.StructField("Accession", T.StringType()), T.StructField("Chains", T.StringType())])
 CLUSTERS = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("code", T.StringType()), T.StructField("full_name", T.StringType())])
@@ -31,15 +32,20 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.upper(F.trim("Accession")).alias("accession"), F.transform(F.split("Chains", ";"), lambda x: F.trim(x)).alias("chains"))
 
 
+def structure_name(path: Column) -> Column:
+    """The structure that a file holds: what its folder `structure=...` says, else the file's stem."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/structure=([^/]+)/", 1), F.lit("")), file_stem(path))
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*.pdb", recursive: bool = False, without: str | None = "combined") -> DataFrame:
     """path, structure, length and modification time of matching files; contents are never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    files = files.select("path", file_stem(F.col("path")).alias("structure"), "length", F.col("modificationTime").alias("modified"))
+    files = files.select("path", structure_name(F.col("path")).alias("structure"), "length", F.col("modificationTime").alias("modified"))
     return files.where(~F.contains(F.lower("structure"), F.lit(without))) if without else files
 
 
 def _lines(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", recursive).text(path).select("value", file_stem(F.col("_metadata.file_path")).alias("structure"))
+    return spark.read.option("recursiveFileLookup", recursive).text(path).select("value", structure_name(F.col("_metadata.file_path")).alias("structure"))
 
 
 def _field(first: int, last: int) -> Column:
@@ -71,14 +77,14 @@ def read_declared_sequences(spark: SparkSession, path: str, recursive: bool = Fa
 
 
 def read_alignment(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """source, name, aligned and ord from FASTA-style text; white space inside sequences goes.
+    """source (the file's path), name, aligned and ord from FASTA-style text; white space inside sequences goes.
 
     Records are cut at the header mark by the reader, so files are split like any text.
     """
     raw = spark.read.option("lineSep", ">").option("recursiveFileLookup", recursive).text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ord"))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    return raw.where(F.length(F.trim("value")) > 0).select(file_stem(F.col("source")).alias("source"), F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("name"), body.alias("aligned"), "ord")
+    return raw.where(F.length(F.trim("value")) > 0).select("source", F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("name"), body.alias("aligned"), "ord")
 
 
 def pairwise_alignments(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,8 +143,7 @@ def write_structures(atoms: DataFrame, path: str) -> None:
 
 def write_models(atoms: DataFrame, path: str) -> None:
     """All structures in one ordered text, each as a numbered MODEL block, in order of name."""
-    names = atoms.select("structure").distinct()
-    number = names.withColumn("model", F.row_number().over(Window.orderBy("structure")))
+    number = numbered_by_range(atoms.select("structure").distinct(), "structure").withColumn("model", F.col("number") + 1).drop("number")
     numbered = atoms.join(number, "structure")
     body = numbered.select("model", F.col("atom_ord").alias("ord"), atom_lines(atoms).alias("value"))
     edges = number.select("model", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("ord"), F.format_string("MODEL     %4d", "model").alias("value")), F.struct(F.lit(1 << 62).alias("ord"), F.lit("ENDMDL").alias("value")))).alias("e")).select("model", "e.*")

@@ -133,14 +133,49 @@ def test_payload_functions(spark):
     assert [tuple(r) for r in rows.select(tx.gene_name(F.col("genes")), tx.keyword_group(F.col("k")), tx.first_mention(F.col("k"), "SERINE")).collect()] == [("main", "TK", "serine/threonine"), ("only", None, None)]
 
 
+def dense_spline(y, x):
+    """One path's spline from the full system of its second derivatives."""
+    n = len(y)
+    m, rhs = np.zeros((n, n)), np.zeros_like(y)
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2] = 1, 4, 1
+        rhs[i] = 6 * (y[i - 1] - 2 * y[i] + y[i + 1])
+    m[0, :3] = m[-1, -3:] = 1, -2, 1
+    bend = np.linalg.solve(m, rhs)
+    i = np.clip(np.floor(x).astype(int), 0, n - 2)
+    t = (x - i)[:, None]
+    return y[i] + t * (y[i + 1] - y[i] - (2 * bend[i] + bend[i + 1]) / 6 + t * (bend[i] / 2 + t * (bend[i + 1] - bend[i]) / 6))
+
+
+def test_orders_by_ranges(spark):
+    from residua.operators import ranges
+
+    r = np.random.default_rng(4)
+    values = [int(v) for v in r.integers(0, 60, 500)] + [None] * 7
+    rows = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(values)], "structure int, v int, label int").repartition(5)
+    got = ranges.numbered_by_range(rows, "structure").collect()
+    assert sorted((q.structure, q.number) for q in got) == [(i, i) for i in range(507)]
+    known = [v for v in values if v is not None]
+    assert np.allclose(ranges.quantiles(rows, "v", [0, 0.25, 0.5, 0.95, 1]), np.quantile(known, [0, 0.25, 0.5, 0.95, 1]))
+    assert ranges.quantiles(rows.where("v > 99"), "v", [0.5]) == [None] and ranges.quantiles(rows.limit(0), "v", [0.5]) == [None]
+    for n in (0, 1, 50, 507, 900):
+        one = {q.structure for q in ranges.least_by_hash(rows, n, "structure").collect()}
+        assert len(one) == min(n, 507) and one == {q.structure for q in ranges.least_by_hash(rows, n, "structure", bits=2).collect()}
+    per = [q.label for q in ranges.least_by_hash(rows, 20, "structure", by=("label",)).collect()]
+    assert sorted(per) == [0] * 20 + [1] * 20 + [2] * 20
+
+
 def test_spline_and_resampling(spark):
     t = np.linspace(0, 3, 9)
     y = np.stack([t**3 - t, 2 * t, np.ones_like(t)], axis=1)
     x = np.arange(0, 8, 0.1)
     u = x * 3 / 8
-    assert np.allclose(resample.cubic_through(y, x), np.stack([u**3 - u, 2 * u, np.ones_like(u)], axis=1))
+    assert np.allclose(resample.cubic_through(y[None], x)[0], np.stack([u**3 - u, 2 * u, np.ones_like(u)], axis=1))
+    for n in (4, 5, 11):
+        z = np.random.default_rng(n).normal(size=(3, n, 3))
+        assert np.allclose(resample.cubic_through(z, np.arange(0, n - 1, 0.1)), np.stack([dense_spline(v, np.arange(0, n - 1, 0.1)) for v in z]))
     line = np.stack([np.arange(6.0)] * 3, axis=1)
-    out = resample.evenly_spaced(line, 27)
+    out = resample.evenly_spaced(line[None], 27)[0]
     assert len(out) == 27 and np.all(np.diff(out[:, 0]) >= 0) and np.allclose(out[:, 0], out[:, 2]) and out[0, 0] == 0
     rows = spark.createDataFrame([("a", i, float(i), 0.0, 0.0) for i in range(5)] + [("b", 0, 0.0, 0.0, 0.0)], "structure string, ord int, x double, y double, z double")
     paths, short = resample.resample(rows)
