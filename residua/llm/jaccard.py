@@ -16,11 +16,16 @@ of 0.8 differ in few shingles, so:
 
 Equal sets are one class throughout. Per signature, the class that shares most leads the
 others; the best candidates of each class are verified on the texts, and classes so
-joined form first components, which then meet through their leaders again. What is left
-are signatures shared by different components: their members are compared with parity
-sketches, which bound the number of differing shingles from below, block by block, and
-what passes is verified too. So no group is expanded into all pairs, and no link between
-components is missed.
+joined form first components. What is left are signatures shared by different components. Their members are compared with parity
+sketches, which bound the number of differing shingles from below. Signatures of a few
+members give candidate pairs at once. In larger ones, block by block, first only those
+members are marked that have a candidate at all, by ever wider sketches; these then meet with their
+texts, and a block puts out the verified links that join components it has not yet
+joined. So rows that are put out grow with the members of a signature, not with their
+square, and no link between components is missed.
+
+Links are verified on the words themselves: words of both texts are numbered, and
+shingles are compared as exact numbers. Equal sets are told by a 64-bit hash.
 
 A null or wordless text has an empty set and is linked with nothing; so are rows without
 a doc_id. Fewer than five words make one shingle. Rows with equal doc_id and text are
@@ -34,23 +39,27 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import LOWER, SPACE_WORDS, WordHash, documents_in, mix, run_hash, stage_table, steps, word_spans
+from residua.llm.common import LOWER, SPACE_WORDS, WordHash, doc_key, documents_in, free_name, mix, released, run_hash, stage_table, steps, word_spans
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 #: Upper over lower end of a size band.
 BAND = 1.6
-#: Candidates verified per class before components are formed, and rounds between components after that.
-BEST, HUB_ROUNDS = 2, 1
+#: Candidates verified per class before components are formed.
+BEST = 2
 #: Signatures of up to so many members are paired directly.
 FEW = 6
 #: Members of a signature that are compared in one block.
 BLOCK = 1500
-#: Most bits of a parity sketch.
-SKETCH_BITS = 4096
+#: Shingles of the members that meet in one block with their texts.
+BLOCK_SHINGLES = 1_000_000
+#: Bits of a parity sketch: the power of two at or above the number of shingles, within these ends.
+SKETCH_LEAST, SKETCH_MOST = 64, 4096
+#: Times as many where texts are at hand: the bound is then close to the difference itself.
+WIDER = 8
 #: A table of keys is broadcast up to so many rows (8 bytes each); beyond, it is joined by exchange.
 BROADCAST_KEYS = 500_000
 
@@ -119,11 +128,12 @@ def signatures(s: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray, times: int = 1) -> bytes:
     """Parity of the number of hashes in each of many cells; two sets differ at least where bits do."""
-    bits = 64
-    while bits < len(s) and bits < SKETCH_BITS:
+    bits = SKETCH_LEAST
+    while bits < len(s) and bits < SKETCH_MOST:
         bits *= 2
+    bits *= times
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -149,7 +159,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
                 bits.append(sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "doc_key", "n_shingles", "sid", "sketch"])
 
-    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_shingles long, sid long, sketch binary")
+    return documents_in(docs).mapInArrow(released(run), "doc_id long, doc_key long, n_shingles long, sid long, sketch binary")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -168,59 +178,106 @@ def signed(docs: DataFrame) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(sids))], ["sig", "sid"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "sig long, sid long")
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(released(run), "sig long, sid long")
 
 
 def shared_signatures(sigs: DataFrame) -> DataFrame:
-    """(sig, sid, members) of signatures with several classes. One exchange, sorted runs, streamed."""
+    """(sig, sid, members) of signatures with several classes. One exchange, sorted runs, streamed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig = held_sid = np.zeros(0, np.int64)
+    members is the number of a signature's classes within one Arrow batch: enough to weigh
+    leaders, and nothing but the last class is held from one batch to the next.
+    """
 
-        def distinct(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None  # a class that waits for a second one; the last class of a signature known to be shared
+        for batch in batches:
+            sig, sid = batch.column("sig").to_numpy(), batch.column("sid").to_numpy()
+            if not len(sig):
+                continue
+            before = held or last
+            if held:
+                sig, sid = np.append(held[0], sig), np.append(held[1], sid)
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-            return sig[new], sid[new]
-
-        def found(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-            sig, sid = distinct(sig, sid)
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            members = np.diff(np.append(np.flatnonzero(new), len(sig)))
-            members = np.repeat(members, members)
-            keep = members > 1
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, sid, members)], ["sig", "sid", "members"])
-
-        for batch in batches:
-            sig = np.concatenate([held_sig, batch.column("sig").to_numpy()])
-            sid = np.concatenate([held_sid, batch.column("sid").to_numpy()])
-            # The last signature may go on in the next batch; a long one is held as its distinct classes.
-            cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-            held_sig, held_sid = distinct(sig[cut:], sid[cut:])
-            yield found(sig[:cut], sid[:cut])
-        yield found(held_sig, held_sid)
+            new[0] = held is not None or before != (sig[0], sid[0])
+            sig, sid = sig[new], sid[new]
+            if not len(sig):
+                continue
+            first = np.ones(len(sig), bool)
+            first[1:] = sig[1:] != sig[:-1]
+            members = np.diff(np.append(np.flatnonzero(first), len(sig)))
+            known = np.zeros(len(members), bool)
+            known[0] = last is not None and held is None and sig[0] == last[0]
+            shared = known | (members > 1)
+            rows, count = np.repeat(shared, members), np.repeat(np.maximum(members, 2), members)
+            end = (sig[-1], sid[-1])
+            held, last = (None, end) if shared[-1] else (end, None)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (sig, sid, count)], ["sig", "sid", "members"])
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "sig long, sid long, members long")
+    return sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(released(run), "sig long, sid long, members long")
 
 
-def hub_pairs(shared: DataFrame, weights: DataFrame, labels: DataFrame | None, best: int = BEST) -> DataFrame:
+def hub_pairs(shared: DataFrame, weights: DataFrame, best: int = BEST) -> DataFrame:
     """Candidate pairs (a, b): per signature its heaviest class with the others, at most `best` per class.
 
     A class is the heavier the more signatures it shares with the more others, so the text
-    that many are near copies of leads them. With labels, each component of a signature
-    stands for itself by its heaviest class, and pairs within a component are left out.
+    that many are near copies of leads them.
     """
     rows = shared.select("sig", "sid").join(weights, "sid")
-    if labels is not None:
-        rows = rows.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        rows = rows.groupBy("sig", "comp").agg(F.max(F.struct("weight", "sid")).alias("r")).select("sig", "comp", "r.*")
-    lead = rows.groupBy("sig").agg(F.max(F.struct("weight", "sid")).alias("r"), F.count("*").alias("n")).where("n > 1").select("sig", F.col("r.sid").alias("a"))
-    pairs = rows.join(lead, "sig").where("a <> sid").select("a", F.col("sid").alias("b"))
+    # A table of its own, so that the join below can split a signature with very many members.
+    lead = stage_table(rows.groupBy("sig").agg(F.max(F.struct("weight", "sid")).alias("r")).select("sig", F.col("r.sid").alias("a")), "lead")
+    pairs = shared.select("sig", "sid").join(lead, "sig").where("a <> sid").select("a", F.col("sid").alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def likely(pairs: DataFrame, classes: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that may be similar by size and sketch. classes: sid, n_shingles, sketch."""
+    num, den = similarity.numerator, similarity.denominator
+    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            ok = (n * den >= num * m) & (m * den >= num * n)
+            for k in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u8") for c in ("s_a", "s_b"))
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+                # difference <= (1 - t) / (1 + t) * total, in whole numbers
+                ok[k] = differ * (den + num) <= (den - num) * int(n[k] + m[k])
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(released(run), "a long, b long")
+
+
+def words_in(text: str) -> list[bytes]:
+    """The same words as SPACE_WORDS: split() cuts bytes at the six ASCII white-space characters, lower() folds A-Z."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def similar(a: list[bytes], b: list[bytes], similarity: Fraction = SIMILARITY, length: int = SHINGLE) -> bool:
+    """Do the shingle sets of two texts' words reach the similarity? Compared exactly."""
+    if min(len(a), len(b)) < length:
+        x, y = ({tuple(w[i : i + length]) for i in range(max(1, len(w) - length + 1))} for w in (a, b))
+        common, total = len(x & y), len(x) + len(y)
+    else:
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for w in (*a, *b)], np.int64)
+        at = np.concatenate([np.arange(len(a) - length + 1), np.arange(len(a), len(ids) - length + 1)])
+        code = ids[at]
+        for k in range(1, length):
+            code = code * len(number) + ids[at + k]
+            if len(number) ** (k + 2) >= 1 << 63:
+                code = np.unique(code, return_inverse=True)[1]  # ranks stand for the shingles so far, and keep the numbers small
+        x, y = np.unique(code[: len(a) - length + 1]), np.unique(code[len(a) - length + 1 :])
+        common, total = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+    return similarity.denominator * common >= similarity.numerator * (total - common)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, by their texts. texts: (sid, text), a row per class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -229,24 +286,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARI
     t = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     u = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
-    num, den = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
-
-        def one(x: pa.StringScalar) -> np.ndarray:
-            data = np.frombuffer(x.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-            return next(sets_in(data, np.array([0, len(data)]), hasher))
-
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                a, b = one(x), one(y)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(den * common >= num * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            texts = zip(batch.column("text_a"), batch.column("text_b"))
+            ok = pa.array([similar(words_in(x.as_py()), words_in(y.as_py()), similarity) for x, y in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def components(links: DataFrame, node: str = "sid") -> DataFrame:
@@ -319,58 +366,121 @@ def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame
         if held is not None:
             yield found(held.combine_chunks())
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "a long, b long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(released(run), "a long, b long")
 
 
-def across_components(shared: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) that share a signature, are in different components and may be similar by size and sketch."""
+def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that join the components which still share a signature. classes: sid, n_shingles, sketch."""
     rows = shared.select("sig", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
     mixed = stage_table(mixed, "mixed")
-    few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(sketches.select("sid", "n_shingles", "sketch"), "sid")
-    many = rows.join(mixed.where(F.col("members") > FEW), "sig").join(sketches.select("sid", "n_shingles", "sketch"), "sid")
-    return close_pairs(few, similarity).unionByName(in_blocks(many, similarity)).distinct()
+    few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(classes, "sid")
+    many = rows.join(mixed.where(F.col("members") > FEW), "sig").join(classes, "sid")
+    pairs = stage_table(close_pairs(few, similarity).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    return verified(pairs, texts, similarity).unionByName(links_in_blocks(many, texts, similarity))
 
 
-def in_blocks(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """The same for signatures of many members: dealt into blocks of bounded size, of which every two meet once."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows with sig, i, j and own: a signature's members are dealt into blocks, of which every two (i <= j) meet once."""
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n_shingles", "sketch")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
+def near_members(group: pa.Table, similarity: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks that meet: each member, with the later ones that may be similar by size and sketch and are in other components."""
     num, den = similarity.numerator, similarity.denominator
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    own, sid, comp, n = (group[c].to_numpy() for c in ("own", "sid", "comp", "n_shingles"))
+    bits = [np.frombuffer(x.as_py(), "<u8") for x in group["sketch"]]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    words = np.array([len(b) for b in bits])
+    for w in np.unique(words[left]).tolist():
+        mine = left[words[left] == w]
+        for v in np.unique(words[right]).tolist():
+            # Similar sizes have sketches of equal or next size.
+            if v > 2 * w or w > 2 * v:
+                continue
+            theirs = right[words[right] == v]
+            x, y = (_folded(np.stack([bits[k] for k in part]), min(v, w)) for part in (mine, theirs))
+            for r, row in zip(mine.tolist(), x):
+                near = (comp[theirs] != comp[r]) & (n[theirs] * den >= num * n[r]) & (n[r] * den >= num * n[theirs])
+                if i == j:
+                    near &= sid[theirs] > sid[r]
+                at = np.flatnonzero(near)
+                if len(at):
+                    # difference <= (1 - t) / (1 + t) * total, in whole numbers
+                    at = at[np.bitwise_count(row ^ y[at]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[theirs[at]] + n[r])]
+                if len(at):
+                    yield r, theirs[at]
+
+
+def marked_members(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The rows (sig, sid, comp, n_shingles) that have a candidate within their signature, by the sketches of rows."""
+
+    def mark(group: pa.Table) -> pa.Table:
+        seen = np.zeros(group.num_rows, bool)
+        for r, others in near_members(group, similarity):
+            seen[r] = True
+            seen[others] = True
+        return group.select(["sig", "sid", "comp", "n_shingles"]).filter(pa.array(seen))
+
+    rows = rows.select("sig", "sid", "comp", "n_shingles", "sketch", "members")
+    met = in_blocks(rows, F.ceil(F.col("members") / BLOCK).cast("int")).select("sig", "i", "j", "own", "sid", "comp", "n_shingles", "sketch")
+    return met.groupBy("sig", "i", "j").applyInArrow(mark, "sig long, sid long, comp long, n_shingles long").distinct()
+
 
-    def compare(group: pa.Table) -> pa.Table:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        own, sid, comp, n = (group[c].to_numpy() for c in ("own", "sid", "comp", "n_shingles"))
-        bits = [np.frombuffer(x.as_py(), "<u8") for x in group["sketch"]]
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        words = np.array([len(b) for b in bits])
-        a_out, b_out = [], []
-        for w in np.unique(words[left]).tolist():
-            mine = left[words[left] == w]
-            for v in np.unique(words[right]).tolist():
-                # Similar sizes have sketches of equal or next size.
-                if v > 2 * w or w > 2 * v:
-                    continue
-                theirs = right[words[right] == v]
-                low = min(v, w)
-                x, y = _folded(np.stack([bits[k] for k in mine]), low), _folded(np.stack([bits[k] for k in theirs]), low)
-                for r, row in zip(mine, x):
-                    near = (comp[theirs] != comp[r]) & (n[theirs] * den >= num * n[r]) & (n[r] * den >= num * n[theirs])
-                    if i == j:
-                        near &= sid[theirs] > sid[r]
-                    at = np.flatnonzero(near)
-                    if len(at):
-                        # difference <= (1 - t) / (1 + t) * total, in whole numbers
-                        at = at[np.bitwise_count(row ^ y[at]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[theirs[at]] + n[r])]
-                        hit = theirs[at]
-                        a_out.append(np.minimum(sid[hit], sid[r]))
-                        b_out.append(np.maximum(sid[hit], sid[r]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+def wide_sketches(texts: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, sketch) of the given classes, wider than those of all classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for batch, data, offsets in steps(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([sketch(s, WIDER) for s in sets_in(data, offsets, hasher)], pa.binary())], ["sid", "sketch"])
+
+    return texts.join(sids, "sid", "left_semi").mapInArrow(released(run), "sid long, sketch binary")
+
+
+def links_in_blocks(rows: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The same for signatures of many members.
+
+    Members with candidates are marked, twice: by the sketches that all classes have, and
+    then by wider ones of those that are left. The few that remain are compared by words.
+    """
+    sized = lambda m: m.join(stage_table(m.groupBy("sig").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")), "sizes"), "sig")
+    first = stage_table(marked_members(rows, similarity), "marked")
+    wide = stage_table(wide_sketches(texts, first.select("sid").distinct()), "wide")
+    marked = stage_table(marked_members(sized(first).join(wide, "sid"), similarity), "marked")
+
+    def link(group: pa.Table) -> pa.Table:
+        sid, comp = group["sid"].to_numpy(), group["comp"].to_pylist()
+        texts, words = group["text"], {}
+        root = {c: c for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def of(r: int) -> list[bytes]:
+            if r not in words:
+                words[r] = words_in(texts[r].as_py())
+            return words[r]
+
+        out = []
+        for r, others in near_members(group, similarity):
+            for o in others.tolist():
+                if (x := top(comp[r])) != (y := top(comp[o])) and similar(of(r), of(o), similarity):
+                    root[x] = y
+                    out.append((min(sid[r], sid[o]), max(sid[r], sid[o])))
+            words.pop(r, None)
+        a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    met = in_blocks(sized(marked), blocks).join(wide, "sid").join(texts, "sid")
+    met = met.select("sig", "i", "j", "own", "sid", "comp", "n_shingles", "sketch", "text")
+    return met.groupBy("sig", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def jaccard_members(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -384,15 +494,12 @@ def jaccard_members(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataF
     d = documents_in(docs)
     found = d.join(keys, (d.doc_id == keys.k_id) & (d.doc_key == keys.k_key)).dropDuplicates(["k_id", "k_key"])
     texts = stage_table(found.select("sid", "text"), "texts")
-    tested = stage_table(hub_pairs(shared, weights, None), "tested")
-    links = stage_table(verified(tested, texts, similarity), "links")
+    sketches = wanted.select("sid", "n_shingles", "sketch")
+    tested = stage_table(hub_pairs(shared, weights), "tested")
+    links = stage_table(verified(stage_table(likely(tested, sketches, similarity), "likely"), texts, similarity), "links")
     labels = components(links)
-    for _ in range(HUB_ROUNDS):
-        fresh = stage_table(hub_pairs(shared, weights, labels, 1).join(tested, ["a", "b"], "left_anti"), "tested")
-        tested = tested.union(fresh)
-        labels = joined(labels, stage_table(verified(fresh, texts, similarity), "links"))
-    rest = stage_table(across_components(shared, labels, wanted.select("sid", "n_shingles", "sketch"), similarity).join(tested, ["a", "b"], "left_anti"), "rest")
-    labels = joined(labels, stage_table(verified(rest, texts, similarity), "links"))
+    rest = across_components(shared, labels, sketches, texts, tested, similarity)
+    labels = joined(labels, stage_table(rest, "links"))
     return with_components(rows, labels)
 
 
@@ -423,7 +530,8 @@ def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def with_component_ids(named: DataFrame) -> DataFrame:
     """The smallest doc_id of each row's component; rows without one have their own."""
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # A table of its own, so that the join can split a component that holds a large share of the rows.
+    least = stage_table(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "comp", "left").select("doc_id", "doc_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -433,13 +541,12 @@ def jaccard_digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (of equal rows, any one)."""
-    from residua.llm.common import doc_key
-
     rows = jaccard_members(docs).where("doc_id is not null")
     # Different texts under one id: the one with the smallest key, if they are of one group. Rows without an id all stay.
     least = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "doc_key")).alias("r")).select("r.*")
     kept = least.union(rows.where("comp is null").select("doc_id", "doc_key").distinct()).alias("k")
-    d = docs.withColumn("_doc_key", doc_key()).alias("d")
-    named = d.where("doc_id is not null").join(kept, (F.col("d.doc_id") == F.col("k.doc_id")) & F.col("d._doc_key").eqNullSafe(F.col("k.doc_key")), "left_semi")
-    single = named.dropDuplicates(["doc_id", "_doc_key"])
-    return single.unionByName(d.where("doc_id is null")).drop("_doc_key")
+    key = free_name(docs, "doc_key")
+    d = docs.withColumn(key, doc_key()).alias("d")
+    named = d.where("doc_id is not null").join(kept, (F.col("d.doc_id") == F.col("k.doc_id")) & F.col(f"d.{key}").eqNullSafe(F.col("k.doc_key")), "left_semi")
+    single = named.dropDuplicates(["doc_id", key])
+    return single.unionByName(d.where("doc_id is null")).drop(key)
