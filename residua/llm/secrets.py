@@ -7,16 +7,19 @@ byte once; where a rule stops accepting, a match of that rule ends, and the rule
 reversed automaton, run back from there to the end of the rule's previous match at
 most, gives its leftmost start.
 
-Rules must end in a repeated class or a fixed text, and no rule may match inside the
-part of itself that comes before its final class; then the ends found are those of
-leftmost, longest, non-overlapping matches. The rules below are of this kind.
+Ends found so are those of leftmost, longest, non-overlapping matches if a rule, once it
+has stopped accepting, never accepts the same match again, and if no match of it can end
+within the part of another one that comes before that one accepts. Both are checked on
+each rule's own automaton when it is compiled; other rules are refused (ValueError).
+
+A private key is found as a whole, header to footer, so that redaction leaves nothing of
+it; one whose footer is missing is found up to where its letters end.
 
 Null and empty texts hold no secrets. Rows with equal ids are scanned one by one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,8 +28,11 @@ from re import _parser as sre  # the standard library's regex syntax tree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from residua.llm.common import released
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,9 +47,10 @@ RULES = (
     Rule("assign", rf"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?(?P<v>{_VALUE}+)", 6),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    # Beyond the base: well-known token shapes.
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 40),
+    # Beyond the base: well-known shapes. Each further rule that ends in a repeated class about doubles the states.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem_begin", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*"),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 40),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -66,13 +73,17 @@ class _Nfa:
             name = str(op)
             if name == "LITERAL":
                 codes = {arg}
+            elif name == "NOT_LITERAL":
+                codes = {arg}
             elif name == "IN":
                 codes = set()
                 for kind, x in arg:
-                    codes |= {x} if str(kind) == "LITERAL" else set(range(x[0], x[1] + 1))
-            if name in ("LITERAL", "IN"):
+                    codes |= {"LITERAL": lambda x: {x}, "RANGE": lambda x: set(range(x[0], x[1] + 1)), "NEGATE": lambda x: set()}[str(kind)](x)
+            if name in ("LITERAL", "NOT_LITERAL", "IN"):
                 if fold:
                     codes |= {ord(f(chr(c))) for c in codes for f in (str.lower, str.upper) if c < 128}
+                if name == "NOT_LITERAL" or name == "IN" and str(arg[0][0]) == "NEGATE":
+                    codes = set(range(256)) - codes
                 to = self.state()
                 self.edges[at] = (frozenset(codes), to)
                 at = to
@@ -185,20 +196,53 @@ def compile_rules(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa]]:
         starts.append(nfa.state())
         ends[nfa.build(_tree(rule), starts[-1], False, False)] = 1 << k
     joined = _minimise(*_determinise(nfa, nfa.closure(starts), ends, True))
-    back = [_backward(rule) for rule in rules]
-    return joined, back
+    for rule in rules:
+        _check(rule)
+    return joined, [_alone(rule, True) for rule in rules]
 
 
-def _backward(rule: Rule) -> Dfa:
+def _alone(rule: Rule, back: bool) -> Dfa:
+    """A rule's own automaton, without a restart; back: from its end."""
     nfa = _Nfa()
     start = nfa.state()
-    end = nfa.build(_tree(rule), start, False, True)
+    end = nfa.build(_tree(rule), start, False, back)
     return _minimise(*_determinise(nfa, nfa.closure([start]), {end: 1}, False))
 
 
-def scanner(rules: tuple[Rule, ...] = RULES) -> Callable[[bytes], list[tuple[int, int, int]]]:
-    """A function from bytes to (start, rule index, end), sorted."""
-    dfa, back = compile_rules(rules)
+def _check(rule: Rule) -> None:
+    """Refuse a rule whose leftmost, longest matches the scan would miss (see the module's docstring)."""
+    d = _alone(rule, False)
+    states = range(len(d.mask))
+    rows = [[x >> 8 if x >= 0 else -1 for x in d.next[s * 256 : s * 256 + 256]] for s in states]
+    # Bytes that all states treat alike count once.
+    columns = list(dict.fromkeys(zip(*rows)))
+    useful = {s for s in states if d.mask[s]}
+    while more := {s for s in states if s not in useful and useful & set(rows[s])}:
+        useful |= more
+    if d.mask[0]:
+        raise ValueError(f"rule {rule.kind} matches nothing at all")
+    if any(d.mask[s] and x >= 0 and not d.mask[x] and x in useful for s in states for x in rows[s]):
+        raise ValueError(f"rule {rule.kind} stops and starts accepting within a match")
+    # Of two matches, b begun inside a: does b accept while a has yet to?
+    todo = [(c[0], 0) for c in columns if c[0] in useful]
+    seen = set(todo)
+    for a, b in todo:
+        if d.mask[a]:
+            continue
+        for c in columns:
+            if (x := c[a]) not in useful:
+                continue
+            for pair in {(x, c[b]), (x, 0)}:
+                if pair[1] >= 0 and pair not in seen:
+                    if d.mask[pair[1]] and not d.mask[x]:
+                        raise ValueError(f"rule {rule.kind} can match before another of its matches is complete")
+                    seen.add(pair)
+                    todo.append(pair)
+
+
+def scanner(rules: tuple[Rule, ...] = RULES, compiled: tuple[Dfa, list[Dfa]] | None = None) -> Callable[[bytes], list[tuple[int, int, int]]]:
+    """A function from bytes to (start, rule index, end), sorted. compiled: what compile_rules gave on the driver."""
+    dfa, back = compiled or compile_rules(rules)
     step, mask, accepting = dfa.next, dfa.mask, dfa.accepting
     forms = [re.compile(r.pattern.encode()) for r in rules]
 
@@ -252,14 +296,16 @@ def spans_in(text: str | None, scan, rules: tuple[Rule, ...] = RULES) -> list[tu
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and `secrets`, an array of (kind, begin, end) in code points, for every row of docs."""
 
+    given = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner(rules)
+        scan = scanner(rules, given.value)
         for batch in batches:
             found = [[{"kind": k, "begin": a, "end": b} for k, a, b in spans_in(t.as_py(), scan, rules)] for t in batch.column("text")]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "secrets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, secrets array<struct<kind: string, begin: long, end: long>>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, secrets array<struct<kind: string, begin: long, end: long>>")
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -268,8 +314,10 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
     A null text stays null. All columns stay as they are otherwise.
     """
 
+    given = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner(rules)
+        scan = scanner(rules, given.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, text in enumerate(texts):
@@ -286,18 +334,13 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(released(run), StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The contract's columns: counts of the base kinds, the hash of base spans, all spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, secrets = batch.column("doc_id"), batch.column("secrets").to_pylist()
-            spans = [[(s["kind"], f"{s['kind']}:{s['begin']}:{s['end']}") for s in row] for row in secrets]
-            count = [pa.array([sum(k == kind for k, _ in row) for row in spans], pa.int64()) for kind in BASE_KINDS]
-            base = [hashlib.sha256(",".join(x for k, x in row if k in BASE_KINDS).encode()).hexdigest() for row in spans]
-            yield pa.RecordBatch.from_arrays([ids, *count, pa.array(base, pa.string()), pa.array([",".join(x for _, x in row) for row in spans], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return scan_secrets(docs, rules).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    found = scan_secrets(docs, rules)
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    text = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(of(*BASE_KINDS)), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))
