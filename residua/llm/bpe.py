@@ -4,14 +4,17 @@ Both operators take the path of a public tokenizer file (tokenizers' JSON form)
 never copy it. Null texts count as empty; repeated rows are handled one by one.
 
 Encoding. For every prefix of a word exactly one vocabulary entry can be the last
-token of that prefix's encoding. An automaton over the vocabulary yields, at each
-position, the entries that are suffixes of the prefix; an entry is the last token if
-it goes with the last token of the prefix before it, that is if no merge across the
-border of the two would come before the merges that build them. Back-pointers from
-the end of the word then give the exact ids, with no merge loop.
+token of that prefix's encoding. A suffix automaton over the vocabulary yields, at each
+position, the entries that are suffixes of the prefix, longest first; an entry is the
+last token if it goes with the last token of the prefix before it, that is if no merge
+across the border of the two would come before the merges that build them. Back-pointers
+from the end of the word then give the exact ids, with no merge loop.
 
 Counting. A vocabulary entry that encodes alone as itself is proved such once, when
 the tables are built; a pre-token equal to one counts 1. The others are merged.
+
+What a worker remembers of words it has seen is bounded (Memo), texts are taken in steps
+of about a megabyte, and a longer text goes through one pre-token at a time.
 """
 
 from __future__ import annotations
@@ -21,23 +24,49 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pre-tokens or pairs that a worker remembers; then it forgets them all and goes on.
-MEMO = 500_000
+from residua.llm.common import released, steps
+
+#: Distinct pre-tokens in each of the two halves of a worker's memory (about 200 bytes each), and pairs of tokens.
+MEMO, PAIRS = 100_000, 50_000
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
-#: Stands for the end-of-word mark in the automaton (the byte alphabet below has no such character).
+#: Texts of more characters are cut into pre-tokens one at a time.
+LONG_TEXT = 1 << 20
+#: Stands for the end-of-word mark in an entry (the byte alphabet below has no such character).
 _END = "\ue000"
+#: The same as a symbol of the automaton, next to the 256 bytes.
+_END_SYMBOL = 256
 _INF = 1 << 60
 
 
+class Memo(dict):
+    """Remembers make(key). When `room` keys are in, they become the older half; keys of the older half that are used again stay."""
+
+    def __init__(self, make: Callable, room: int = 0):
+        super().__init__()
+        self.make, self.room, self.older = make, room or MEMO, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, str) and len(key) > MEMO_CHARS:
+                return value
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def byte_alphabet() -> list[str]:
     """The printable character of each byte: visible Latin-1 stands for itself, the rest follow U+0100."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -98,7 +127,6 @@ class Vocabulary:
                     heapq.heappush(heap, (*rank[p], left, *p))
         return [x for x in ids if x >= 0]
 
-
     def _merged_short(self, ids: list[int]) -> list[int]:
         """The same for a word of a few symbols, where looking at all ranks is cheaper than a heap."""
         get, none = self.rank.get, (_INF, -1)
@@ -117,24 +145,66 @@ class Vocabulary:
         return ids
 
 
+class SuffixAutomaton:
+    """Which of many strings are suffixes of what has been read.
+
+    A state is the longest suffix of what has been read that begins one of the strings; its
+    link is the next shorter such suffix. A state's strings are its own and those of its
+    link, longest first.
+    """
+
+    def __init__(self, entries: Iterable[tuple[list[int], int]]):
+        """entries: symbols (0 to 511) and the number that stands for them."""
+        step: dict[int, int] = {}
+        own: list[tuple[tuple[int, int], ...]] = [()]
+        parent, by = [0], [0]
+        for symbols, name in entries:
+            at = 0
+            for c in symbols:
+                to = step.get(at << 9 | c)
+                if to is None:
+                    to = step[at << 9 | c] = len(own)
+                    own.append(())
+                    parent.append(at)
+                    by.append(c)
+                at = to
+            own[at] = ((name, len(symbols)),)
+        depth = [0] * len(own)
+        for k in range(1, len(own)):
+            depth[k] = depth[parent[k]] + 1
+        link = [0] * len(own)
+        for k in sorted(range(1, len(own)), key=depth.__getitem__):
+            at = parent[k]
+            while at:
+                at = link[at]
+                if (to := step.get(at << 9 | by[k])) is not None:
+                    link[k] = to
+                    break
+            own[k] = own[k] + own[link[k]] if own[k] else own[link[k]]
+        self.step, self.link, self.found = step, link, own
+
+    def after(self, state: int, symbol: int) -> int:
+        get, link = self.step.get, self.link
+        while (to := get(state << 9 | symbol)) is None and state:
+            state = link[state]
+        return to or 0
+
+
 class PrefixEncoder:
     """Exact encoding of one pre-token at a time."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = v = vocabulary
-        self.automaton = ahocorasick.Automaton()
         #: How each entry is built: (rank, left part, right part); single symbols have none.
         self.built: dict[int, tuple[int, int, int]] = {}
         for (a, b), (k, whole) in v.rank.items():
             if whole not in self.built or k < self.built[whole][0]:
                 self.built[whole] = (k, a, b)
-        self.spines: dict[int, tuple[list, list]] = {}
         self.good: dict[int, bool] = {}
         single = {i for t, i in v.ids.items() if len(t.rstrip(_END)) <= 1}
-        for text, i in v.ids.items():
-            if i in single or i in self.built and self._alone(i):
-                self.automaton.add_word(text, (i, len(text)))
-        self.automaton.make_automaton()
+        code = {c: b for b, c in enumerate(_BYTES)} | {_END: _END_SYMBOL}
+        self.automaton = SuffixAutomaton(([code[c] for c in text], i) for text, i in v.ids.items() if i in single or i in self.built and self._alone(i))
+        self.pairs = Memo(lambda key: self._first_across(key >> 20, key & 0xFFFFF) is None, PAIRS)
 
     def _alone(self, i: int) -> bool:
         """Does the entry's text encode as the entry? Its two parts must, and must not be split by an earlier merge."""
@@ -147,19 +217,13 @@ class PrefixEncoder:
 
     def _spine(self, i: int, side: int) -> list[tuple[int, int]]:
         """What stands at a token's right (0) or left (1) border over time: (id, rank of the merge that ends it)."""
-        if i not in self.spines:
-            both = ([], [])
-            for s in (0, 1):
-                at, until = i, _INF
-                while True:
-                    both[s].append((at, until))
-                    if at not in self.built:
-                        break
-                    until, a, b = self.built[at]
-                    at = a if s else b
-                both[s].reverse()
-            self.spines[i] = both
-        return self.spines[i][side]
+        out, until, built = [], _INF, self.built
+        while True:
+            out.append((i, until))
+            if i not in built:
+                return out[::-1]
+            until, a, b = built[i]
+            i = a if side else b
 
     def _first_across(self, a: int, b: int) -> tuple[int, int] | None:
         """The first merge across the border of tokens a and b, if one comes before both are whole; else what merges them."""
@@ -177,32 +241,27 @@ class PrefixEncoder:
             else:
                 j += 1
 
-    def goes_with(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        found = self.good.get(key + _INF)
-        if found is None:
-            if len(self.good) > 4 * MEMO:
-                self.good.clear()
-            found = self.good[key + _INF] = self._first_across(a, b) is None
-        return found
-
     def encode(self, word: str) -> list[int]:
-        chars = "".join([_BYTES[b] for b in word.encode("utf-8", "surrogatepass")])
-        # The end-of-word mark is part of the last symbol, so it ends the same prefix as that symbol.
-        n = len(chars)
+        data = word.encode("utf-8", "surrogatepass")
+        n = len(data)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        goes_with = self.goes_with
-        for end, (token, size) in self.automaton.iter(chars + _END if self.v.end else chars):
-            at = end + 1
-            if self.v.end and at >= n:
-                if at == n:
-                    continue  # without its mark the last symbol can't end the word
-                at = n
-                size -= 1
-            if last[at] < 0:
-                begin = at - size
-                if begin == 0 or last[begin] >= 0 and goes_with(last[begin], token):
+        automaton, pairs, state = self.automaton, self.pairs, 0
+        get, link, found = automaton.step.get, automaton.link, automaton.found
+        marked = bool(self.v.end)
+        for at, symbol in enumerate(data, 1):
+            while (to := get(state << 9 | symbol)) is None and state:
+                state = link[state]
+            state = to or 0
+            if marked and at == n:
+                # The end-of-word mark is part of the last symbol: it ends the same prefix, and adds nothing to it.
+                entries, mark = found[automaton.after(state, _END_SYMBOL)], 1
+            else:
+                entries, mark = found[state], 0
+            for token, size in entries:
+                begin = at + mark - size
+                if begin == 0 or last[begin] >= 0 and pairs[last[begin] << 20 | token]:
                     last[at], back[at] = token, begin
+                    break
         out = []
         while n:
             out.append(last[n])
@@ -210,7 +269,7 @@ class PrefixEncoder:
         return out[::-1]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -227,20 +286,8 @@ def normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-class _Known(dict):
-    """Remembers make(word) for short words, up to MEMO of them."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = value
-        return value
+def pretokens(find: regex.Pattern, text: str) -> Iterable[str]:
+    return find.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in find.finditer(text))
 
 
 class WordCodec:
@@ -249,32 +296,28 @@ class WordCodec:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.encoder = PrefixEncoder(self.v)
-        self.find = regex.compile(WORD_PRETOKENS).findall
-        self.ids = _Known(self._ids)
-        self.shown = _Known(lambda word: self._decoded(self.ids[word]))
+        self.find = regex.compile(WORD_PRETOKENS)
+        self.known = Memo(self._word)
 
-    def _ids(self, word: str) -> bytes:
+    def _word(self, word: str) -> tuple[bytes, str]:
         ids = self.encoder.encode(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _decoded(self, ids: bytes) -> str:
-        return " ".join([self.v.shown[i] for (i,) in struct.iter_unpack("<I", ids)])
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.v.shown[i] for i in ids])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoding (entries joined by spaces)."""
         parts = self.v.splitter.split(text) if self.v.splitter and "<|" in text else [text]
-        ids, shown = [], []
+        ids, shown, known = [], [], self.known
         for k, part in enumerate(parts):
             if k % 2:
                 ids.append(struct.pack("<I", self.v.special[part]))
                 shown.append(part)
-            elif words := self.find(normalised(part)):
-                ids.append(b"".join(map(self.ids.__getitem__, words)))
-                shown.append(" ".join(map(self.shown.__getitem__, words)))
+            elif both := [known[w] for w in pretokens(self.find, normalised(part))]:
+                ids.append(b"".join([x[0] for x in both]))
+                shown.append(" ".join([x[1] for x in both]))
         return b"".join(ids), " ".join(shown)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
 
@@ -284,12 +327,13 @@ def encode_words(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
-        for batch in batches:
-            both = [codec.encode(t.as_py() or "") for t in batch.column("text")]
-            ids = pa.array([struct.unpack(f"<{len(b) // 4}I", b) for b, _ in both], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([s for _, s in both], pa.string())], ["doc_id", "ids", "decoded"])
+        for batch, _, _ in steps(batches):
+            ids, decoded = zip(*[codec.encode(t.as_py() or "") for t in batch.column("text")])
+            ends = np.cumsum([0, *(len(b) // 4 for b in ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -297,54 +341,43 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = word_codec(path), hashlib.sha256
-        for batch in batches:
+        for batch, _, _ in steps(batches):
             rows = []
             for t in batch.column("text"):
                 ids, decoded = codec.encode(t.as_py() or "")
                 rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
+            n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-class TokenCounter(dict):
+class TokenCounter:
     """Tokens of each pre-token: 1 for proved vocabulary strings, merges for the rest."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.v = v = vocabulary(path)
         code = {c: b for b, c in enumerate(_BYTES)}
-        whole = regex.compile(BYTE_PRETOKENS)
-        self.find = whole.findall
+        self.find = regex.compile(BYTE_PRETOKENS)
+        whole = set()
         for entry, i in v.ids.items():
             raw = bytes(code[c] for c in entry)
             try:
                 text = raw.decode()
             except UnicodeDecodeError:
                 continue
-            if whole.fullmatch(text) and v.merged(v.symbols(text)) == [i]:
-                self[text] = 1
-        self.room = 2 * MEMO
-        self.rest: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = len(self.v.merged(self.v.symbols(word)))
-        if len(word) <= MEMO_CHARS:
-            if len(self.rest) >= self.room:
-                for w in self.rest:
-                    del self[w]
-                self.rest.clear()
-            self[word] = n
-            self.rest.append(word)
-        return n
+            if self.find.fullmatch(text) and v.merged(v.symbols(text)) == [i]:
+                whole.add(text)
+        #: Strings that are proved to encode alone as one token.
+        self.whole = frozenset(whole)
+        self.known = Memo(lambda word: 1 if word in self.whole else len(v.merged(v.symbols(word))))
 
     def count(self, text: str) -> int:
         parts = self.v.splitter.split(text) if self.v.splitter and "<|" in text else [text]
-        return len(parts) // 2 + sum(sum(map(self.__getitem__, self.find(p))) for p in parts[::2])
+        return len(parts) // 2 + sum(sum(map(self.known.__getitem__, pretokens(self.find, p))) for p in parts[::2])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def token_counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
@@ -354,7 +387,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
-        for batch in batches:
+        for batch, _, _ in steps(batches):
             size, n = [], []
             for t in batch.column("text"):
                 text = t.as_py() or ""
@@ -362,4 +395,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 n.append(counter.count(text))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
