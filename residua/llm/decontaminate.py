@@ -11,9 +11,12 @@ word's place in the window gives the positional bound (so many words must stand
 it) and the window's length the length bound (so many must follow). What passes is
 verified, first by a hash over the item-sized run of words and then byte by byte.
 
-The windows are broadcast while they take at most MAX_INDEX_WORDS words; a larger
-benchmark is taken in slices of that size, one pass over the documents each, and the
-hits of all slices are joined per document.
+The benchmark stays a table: its windows, their words' counts and each window's rarest word
+are found by exchanges. The join itself broadcasts windows, by number and not by trust: at
+most MAX_INDEX_WORDS words of them at a time, cut by the windows' hashes. A larger
+benchmark is taken in as many slices as that needs, one pass over the documents each, and
+the hits of all slices are joined per document. Which items a window belongs to is joined
+last, to the hits only.
 
 Null texts have no words and no windows. Rows with equal doc_id and text are one
 document and get the same result; item ids that repeat count once. Null item ids are
@@ -22,7 +25,6 @@ left out of items_sha256 but their windows still hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import ALNUM_WORDS, LOWER, WordHash, doc_key, documents_in, mix, run_hash, steps, word_spans
+from residua.llm.common import ALNUM_WORDS, LOWER, WordHash, byte_column, doc_key, documents_in, free_name, mix, released, run_hash, stage_table, steps, word_spans
 
 WINDOW = 13
 #: Words of item windows that one broadcast may hold (about 100 bytes each).
@@ -44,45 +46,65 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, hasher: WordHash):
     return low, starts, ends, first, hasher.spans(low, starts, ends)
 
 
-def item_windows(items: list[tuple], window: int = WINDOW) -> list[tuple[int | None, tuple[bytes, ...]]]:
-    """(item id, words) of every distinct window."""
-    out = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        low = LOWER[data]
-        starts, ends, _ = word_spans(low, np.array([0, len(data)]), ALNUM_WORDS)
-        raw = low.tobytes()
-        words = [raw[a:b] for a, b in zip(starts, ends)]
-        for i in range(max(1, len(words) - window + 1)):
-            if words:
-                out[item, tuple(words[i : i + window])] = None
-    return list(out)
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, window, size) of every window of every item: the id as text, the words joined by spaces, their number."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            low = LOWER[data]
+            starts, ends, first = word_spans(low, offsets, ALNUM_WORDS)
+            raw, rows = low.tobytes(), []
+            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                words = [raw[i:j] for i, j in zip(starts[a:b], ends[a:b])]
+                if words:
+                    size = min(window, len(words))
+                    rows += [(k, b" ".join(words[i : i + size]), size) for i in range(len(words) - size + 1)]
+            item, text, size = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(item, pa.int64())), pa.array([t.decode("utf-8", "surrogatepass") for t in text], pa.string()), pa.array(size, pa.int32())], ["item", "window", "size"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(released(run), "item string, window string, size int")
 
-def word_counts(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
-    """How often the corpus holds each of the given words."""
-    hashes = np.sort(WordHash().spans(*_joined(words)))
-    given = docs.sparkSession.sparkContext.broadcast(hashes)
+
+def word_counts(docs: DataFrame, words: DataFrame, most: int = MAX_INDEX_WORDS) -> DataFrame:
+    """(word, hash, n): how often the corpus holds each of the given words. words: word.
+
+    Up to `most` words are told to the tasks, which then count these only; beyond that, all
+    words of the corpus are counted and joined.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for batch in batches:
+            data, offsets = byte_column(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(hasher.spans(data, offsets[:-1], offsets[1:]).view(np.int64))], ["word", "hash"])
+
+    named = stage_table(words.select("word").distinct().mapInArrow(released(hashed), "word string, hash long"), "vocabulary")
+    few = named.count() <= most
+    known = np.unique(np.array([r.hash for r in named.select("hash").toLocalIterator()], np.int64).view(np.uint64)) if few else None
+    given = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hasher = given.value, WordHash()
+        hasher, known = WordHash(), given.value
+        if known is None:
+            for _, data, offsets in steps(batches):
+                h, n = np.unique(_hashed(data, offsets, hasher)[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
+            return
         total, probe = np.zeros(len(known), np.int64), Probe(known)
         for _, data, offsets in steps(batches):
-            *_, h = _hashed(data, offsets, hasher)
-            _, index = probe.hits(h)
+            _, index = probe.hits(_hashed(data, offsets, hasher)[-1])
             total += np.bincount(index, minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["hash", "n"])
 
-    found = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    by_hash = {r.word & 0xFFFFFFFFFFFFFFFF: r.n for r in found}
-    own = WordHash().spans(*_joined(words))
-    return {w: by_hash.get(int(h), 0) for w, h in zip(words, own)}
+    counts = docs.select("text").mapInArrow(released(run), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return named.join(counts, "hash", "left").select("word", "hash", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(sizes)
-    return np.frombuffer(b"".join(words), np.uint8), ends - sizes, ends
+def with_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """windows (window, size) with `place`, where the rarest word stands (ties: the word itself, then the first), and its `hash`."""
+    words = windows.select("window", "size", F.posexplode(F.split("window", " ")).alias("place", "word")).join(counts, "word")
+    return words.groupBy("window", "size").agg(F.min(F.struct("n", "word", "place", "hash")).alias("r")).select("window", "size", "r.place", "r.hash")
 
 
 class Probe:
@@ -107,27 +129,26 @@ class Probe:
 class WindowIndex:
     """Item windows by the hash of their prefix word: the broadcast side of the join."""
 
-    def __init__(self, windows: list[tuple[int | None, tuple[bytes, ...]]], counts: dict[bytes, int]):
-        texts = sorted({w for _, w in windows})
-        number = {w: i for i, w in enumerate(texts)}
-        self.text = [b" ".join(w) for w in texts]
-        items: list[set] = [set() for _ in texts]
-        for item, w in windows:
-            items[number[w]] |= {str(item)} if item is not None else set()
-        self.names = [sorted(x) for x in items]
-        self.size = np.array([len(w) for w in texts], np.int64)
-        #: Place of the rarest word (ties by the word itself) in each window.
-        self.place = np.array([min(range(len(w)), key=lambda i: (counts[w[i]], w[i], i)) for w in texts], np.int64)
+    def __init__(self, rows: list):
+        """rows: window, size, place, hash."""
+        self.text = [r.window.encode("utf-8", "surrogatepass") for r in rows]
+        self.size = np.array([r["size"] for r in rows], np.int64)
+        self.place = np.array([r.place for r in rows], np.int64)
+        rare = np.array([r.hash for r in rows], np.int64).view(np.uint64)
         hasher = WordHash()
-        rare = hasher.spans(*_joined([w[p] for w, p in zip(texts, self.place)])) if texts else np.zeros(0, np.uint64)
-        self.hash = np.array([run_hash(hasher.spans(*_joined(list(w))), len(w))[0] for w in texts], np.uint64)
-        order = np.argsort(rare, kind="stable")
-        self.order = order
-        self.prefixes, self.first, self.count = np.unique(rare[order], return_index=True, return_counts=True)
+        self.hash = np.array([run_hash(hasher.spans(*_joined(t.split(b" "))), int(n))[0] for t, n in zip(self.text, self.size)], np.uint64)
+        self.order = np.argsort(rare, kind="stable")
+        self.prefixes, self.first, self.count = np.unique(rare[self.order], return_index=True, return_counts=True)
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(words), np.uint8), ends - sizes, ends
 
 
 def find_windows(docs: DataFrame, index: WindowIndex) -> DataFrame:
-    """doc_id, doc_key, n_words and hits (begin word, size, item ids) of every row, for the index's windows."""
+    """doc_id, doc_key, n_words and hits (begin word, size, window) of every row, for the index's windows."""
     given = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +175,11 @@ def find_windows(docs: DataFrame, index: WindowIndex) -> DataFrame:
             for w, d, b in zip(window[found].tolist(), doc[found].tolist(), begin[found].tolist()):
                 n = int(ix.size[w])
                 if b" ".join(raw[starts[i] : ends[i]] for i in range(b, b + n)) == ix.text[w]:
-                    hits[d].append({"begin": b - int(first[d]), "size": n, "items": ix.names[w]})
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("size", pa.int64()), ("items", pa.list_(pa.string()))]))
+                    hits[d].append({"begin": b - int(first[d]), "size": n, "window": ix.text[w].decode("utf-8", "surrogatepass")})
+            kind = pa.list_(pa.struct([("begin", pa.int64()), ("size", pa.int64()), ("window", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(np.diff(first)), pa.array(hits, kind)], ["doc_id", "doc_key", "n_words", "hits"])
 
-    return documents_in(docs).mapInArrow(run, "doc_id long, doc_key long, n_words long, hits array<struct<begin: long, size: long, items: array<string>>>")
+    return documents_in(docs).mapInArrow(released(run), "doc_id long, doc_key long, n_words long, hits array<struct<begin: long, size: long, window: string>>")
 
 
 def _spread(first: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -176,39 +197,33 @@ def _run_hash_at(h: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """A row per row of docs: doc_id, doc_key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    windows: list = []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        windows += item_windows([(row.item_id, row.text)], window)
-    vocabulary = sorted({w for _, ws in windows for w in ws})
-    counts = word_counts(docs, vocabulary) if vocabulary else {}
-    each = max(1, max_index_words // window)
-    parts = [windows[i : i + each] for i in range(0, len(windows), each)] or [[]]
-    merged = None
-    for part in parts:
-        rows = find_windows(docs, WindowIndex(part, counts))
-        merged = rows if merged is None else merged.unionByName(rows)
-    if len(parts) > 1:
-        # Every slice gives each row once, so a document's rows in all slices are its copies times the slices.
-        merged = merged.groupBy("doc_id", "doc_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-        merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for n_words, hits in zip(batch.column("n_words").to_pylist(), batch.column("hits").to_pylist()):
-                covered, end, items = 0, 0, set()
-                for x in sorted(hits or [], key=lambda x: x["begin"]):
-                    covered += max(0, x["begin"] + x["size"] - max(end, x["begin"]))
-                    end = max(end, x["begin"] + x["size"])
-                    items.update(x["items"])
-                digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                out.append((covered, len(items), digest, covered > 0 and HIT_SHARE * covered >= n_words))
-            n_hit, n_items, digest, bad = zip(*out) if out else ((), (), (), ())
-            columns = [batch.column("doc_id"), batch.column("doc_key"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return merged.mapInArrow(run, "doc_id long, doc_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    each = stage_table(item_windows(benchmark, window), "items")
+    windows = each.select("window", "size").distinct()
+    counts = word_counts(docs, windows.select(F.explode(F.split("window", " ")).alias("word")), max_index_words)
+    index = stage_table(with_prefixes(windows, counts), "index")
+    slices = max(1, -(-(index.agg(F.sum("size").alias("n")).first().n or 0) // max_index_words))
+    rows, hits = None, None
+    for k in range(slices):
+        part = index.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == k).collect()  # about max_index_words words
+        found = stage_table(find_windows(docs, WindowIndex(part)), "hits")
+        rows = rows if k else found.select("doc_id", "doc_key", "n_words")
+        own = found.where(F.size("hits") > 0).select("doc_id", "doc_key", F.explode("hits").alias("h")).select("doc_id", "doc_key", "h.*")
+        hits = hits.unionByName(own) if k else own
+    # Rows of one document give the same hits.
+    hits = hits.distinct()
+    spans = F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["begin"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
+    covered = hits.groupBy("doc_id", "doc_key").agg(spans.alias("s")).select("doc_id", "doc_key", F.aggregate("s", zero, step)["n"].alias("n_hit"))
+    items = hits.select("doc_id", "doc_key", "window").distinct().join(each.select("item", "window").where("item is not null").distinct(), "window")
+    named = items.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.doc_key").eqNullSafe(F.col(f"{b}.doc_key"))
+    out = rows.alias("r").join(covered.alias("c"), same("r", "c"), "left").join(named.alias("i"), same("r", "i"), "left")
+    n_hit, items = F.coalesce("c.n_hit", F.lit(0)).cast("long"), F.coalesce("i.items", F.array().cast("array<string>"))
+    return out.select(
+        "r.doc_id", "r.doc_key", "r.n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("r.n_words"))).alias("contaminated"),
+    )
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,5 +233,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id", "doc_key").distinct().alias("k")
-    d = docs.withColumn("_doc_key", doc_key()).alias("d")
-    return d.join(bad, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("d._doc_key").eqNullSafe(F.col("k.doc_key")), "left_anti").drop("_doc_key")
+    key = free_name(docs, "doc_key")
+    d = docs.withColumn(key, doc_key()).alias("d")
+    return d.join(bad, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col(f"d.{key}").eqNullSafe(F.col("k.doc_key")), "left_anti").drop(key)
