@@ -116,7 +116,12 @@ def correlation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.correlation_groups(embedding_features(spark, sf_dir).drop("label"), 0.1)
 
 
-@query()
+@query(LONG.replace("WITH l", "WITH RECURSIVE l") + STATS + """, r AS (SELECT feature, mean, std, row_number() OVER (ORDER BY feature) AS k FROM st WHERE mean IS NOT NULL),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(f BIGINT, m DOUBLE)[]) AS leaders, CAST(NULL AS BIGINT) AS feature, CAST(NULL AS BIGINT) AS component UNION ALL
+  SELECT r.k, CASE WHEN len(near) > 0 THEN leaders ELSE list_append(leaders, struct_pack(f := CAST(r.feature AS BIGINT), m := r.mean)) END, r.feature, CASE WHEN len(near) > 0 THEN near[1].f ELSE r.feature END
+  FROM (SELECT g.k + 1 AS k, leaders, list_filter(leaders, lambda l: abs(l.m - r0.mean) <= 0.002) AS near FROM g JOIN r r0 ON r0.k = g.k + 1) x JOIN r USING (k)),
+s AS (SELECT component, r.feature, r.std FROM g JOIN r USING (feature))
+SELECT component, arg_max(feature, std) AS feature, count(*) AS members FROM s GROUP BY component""")
 def same_mean_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.same_mean_groups(embedding_features(spark, sf_dir).drop("label"), 0.002)
 
