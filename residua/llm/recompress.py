@@ -16,11 +16,13 @@ the one whose stretch has the least hash). Windows with the same symbol are neig
 and travel together. One exchange finds the stretches that occur more than once; a
 window whose stretch is unique can't repeat. A second one brings the remaining windows
 of equal stretches together, ordered by document and place: the first of each word
-sequence stays, the others go. Sequences are compared by a hash of their words next to
-the hash of the stretch.
+sequence stays, the others go. Sequences are compared by a 64-bit hash of their words
+within one stretch; the words themselves are not compared.
 
-A stretch that many documents share is streamed in order, never gathered; copies within
-a task are settled there and only their first goes on.
+A stretch is streamed in order, never gathered; copies within one step of a task (about a
+megabyte of texts) are settled there and only their first goes on. A stretch of very many
+groups is dealt by document to SALTS tasks; each settles its own, and the first of each
+sequence in each, at most SALTS, are compared once more by sequence.
 
 Null texts have no words. Rows with equal doc_id and text are one document: they don't
 repeat each other, and get the same result. Rows without a doc_id come before all
@@ -37,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import SPACE_WORDS, WordHash, documents_in, mix, stage_table, steps, word_spans
+from residua.llm.common import SPACE_WORDS, WordHash, documents_in, mix, released, stage_table, steps, word_spans
 from residua.llm.suffixes import CONTEXTS, once_per_document, pointer, repeated_beginnings, same_document
 
 WINDOW = 20
+#: Groups of windows from which on a stretch is dealt to several tasks, and to how many.
+HOT, SALTS = 1000, 64
 #: Rounds of pair naming; after four a symbol stands for three words on average and depends on ten.
 ROUNDS = 4
 
@@ -167,7 +171,7 @@ def stretches(docs: DataFrame) -> DataFrame:
             w = Windows(data, offsets, hasher)
             yield once_per_document(batch, w.doc, w.stretch)
 
-    return docs.select("text", pointer().alias("at")).mapInArrow(run, CONTEXTS)
+    return docs.select("text", pointer().alias("at")).mapInArrow(released(run), CONTEXTS)
 
 
 _PLACE = "doc_id long, doc_key long, begin long"
@@ -209,7 +213,7 @@ def window_groups(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([0 if x else len(h) for x, h in zip(local, hashes)])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *[h for x, h in zip(local, hashes) if not x]])))
             yield pa.RecordBatch.from_arrays([pa.array(stretch[at]), batch.column("doc_id").take(doc), batch.column("doc_key").take(doc), pa.array(w.begin[at]), pa.array(w.count[at]), lists, pa.array(local, pa.bool_())], ["context", "doc_id", "doc_key", "begin", "count", "hashes", "local"])
 
-    return docs.mapInArrow(run, f"context long, {_PLACE}, count long, hashes array<long>, local boolean")
+    return docs.mapInArrow(released(run), f"context long, {_PLACE}, count long, hashes array<long>, local boolean")
 
 
 def later_windows(groups: DataFrame) -> DataFrame:
@@ -220,7 +224,8 @@ def later_windows(groups: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = batch.column("context").to_numpy()
+            stretch, salt = batch.column("context").to_numpy().view(np.uint64), batch.column("salt").to_numpy().astype(np.uint64)
+            c = mix(stretch + mix(salt * _B + _C)).view(np.int64)  # a stretch's part in one task
             lists = batch.column("hashes")
             lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
             size = np.diff(lists.offsets.to_numpy())
@@ -243,14 +248,27 @@ def later_windows(groups: DataFrame) -> DataFrame:
             new[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
             start = np.flatnonzero(new)
             count = np.diff(np.append(start, len(at)))
-            r = row[at[start]]
-            begin = batch.column("begin").to_numpy()[r] + place[at[start]]
+            # First of their part, but not yet of their stretch.
+            open_ = np.flatnonzero(~later & (salt[row] > 0))
+            r = np.concatenate([row[at[start]], row[open_]])
+            begin = batch.column("begin").to_numpy()[r] + place[np.concatenate([at[start], open_])]
+            given = np.concatenate([np.zeros(len(start), bool), np.ones(len(open_), bool)])
+            sequence = np.concatenate([np.zeros(len(start), np.int64), h[open_]])
             take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("doc_key").take(take), pa.array(begin), pa.array(count)], ["doc_id", "doc_key", "begin", "count"])
-
-    rows = groups.where("not local").select("context", "doc_id", "doc_key", "begin", "hashes")
-    found = rows.repartition("context").sortWithinPartitions("context", "doc_id", "doc_key", "begin").mapInArrow(run, _PLACE + ", count long")
-    return found.unionByName(groups.where("local").select("doc_id", "doc_key", "begin", "count"))
+            columns = [batch.column("doc_id").take(take), batch.column("doc_key").take(take), pa.array(begin), pa.array(np.concatenate([count, np.ones(len(open_), np.int64)])), batch.column("context").take(take), pa.array(sequence), pa.array(given)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "begin", "count", "context", "sequence", "open"])
+
+    whole = groups.where("not local")
+    hot = stage_table(whole.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("context", F.lit(True).alias("hot")), "hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "doc_key"), F.lit(SALTS)) + 1).otherwise(0).cast("long")
+    rows = whole.join(hot, "context", "left").select("context", salt.alias("salt"), "doc_id", "doc_key", "begin", "hashes")
+    dealt = rows.repartition("context", "salt").sortWithinPartitions("context", "salt", "doc_id", "doc_key", "begin")
+    found = stage_table(dealt.mapInArrow(released(run), _PLACE + ", count long, context long, sequence long, open boolean"), "later")
+    # One first per part at most; the earliest of them stays.
+    firsts = found.where("open").groupBy("context", "sequence").agg(F.array_sort(F.collect_list(F.struct("doc_id", "doc_key", "begin"))).alias("f"))
+    others = firsts.select(F.explode(F.slice("f", 2, SALTS)).alias("x")).select("x.doc_id", "x.doc_key", "x.begin", F.lit(1).cast("long").alias("count"))
+    settled = found.where("not open").select("doc_id", "doc_key", "begin", "count")
+    return settled.unionByName(others).unionByName(groups.where("local").select("doc_id", "doc_key", "begin", "count"))
 
 
 def kept_words(raw: bytes, starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -300,11 +318,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         for batch, data, offsets in steps(batches):
             yield _rows(batch, data, offsets, batch.column("spans").to_pylist())
 
-    rows = stage_table(both.mapInArrow(finish, _OUT + ", text string, contexts array<long>"), "windows")
+    rows = stage_table(both.mapInArrow(released(finish), _OUT + ", text string, contexts array<long>"), "windows")
     rest = rows.where("contexts is not null").select("doc_id", "doc_key", "text", "contexts")
     groups = stage_table(window_groups(rest.dropDuplicates(["doc_id", "doc_key"])), "groups")
     spans = later_windows(groups).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("begin", "count")).alias("spans"))
-    late = rest.join(spans, same_document(rest, spans), "left").select(rest["doc_id"], rest["doc_key"], "text", "spans").mapInArrow(cut, _OUT)
+    late = rest.join(spans, same_document(rest, spans), "left").select(rest["doc_id"], rest["doc_key"], "text", "spans").mapInArrow(released(cut), _OUT)
     return rows.where("contexts is null").select(*late.columns).unionByName(late)
 
 
