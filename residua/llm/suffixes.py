@@ -10,7 +10,8 @@ places, so they meet at suffixes with equal beginnings. Suffixes whose first 201
 occur once in the corpus, by a 64-bit hash, can't repeat and are left out (one exchange
 of hashes and ids).
 
-How they are sorted. Each task cuts its suffixes into buckets by the hash of their
+How they are sorted. Only suffixes with equal beginnings must meet, so there is no order
+over all suffixes: each task cuts its suffixes into buckets by the hash of their
 beginning, sorts each bucket, joins equal suffixes into one entry and front-codes the
 run: for each entry the number of bytes it shares with the entry before, and the rest.
 Per bucket the runs of all tasks are merged by a loser tree whose nodes know how much
@@ -21,6 +22,13 @@ every entry, the strings that another entry holds too. Entries go back to the pl
 that hold them by (run, entry), so a text copied a thousand times is one entry per task
 in the merge, and its copies stay where they are.
 
+A beginning that very many documents hold, each with other bytes around it, would bring all
+of them into one bucket. Of the 199 bytes that a string has beyond its beginning, some
+stand left and the others right; by how many stand left the strings of such a suffix fall
+into SHARES classes, and a class is sure of most of them. Each suffix then goes to one
+bucket per class, chosen by these bytes too, so only suffixes that share most of a whole
+string meet, and every repeated string is found in its class.
+
 Null texts are empty. Matches don't cross documents. Rows with equal doc_id and text are
 one document: they don't repeat each other, and get the same result.
 """
@@ -29,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +46,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import WordHash, byte_column, documents_in, mix, stage_table, steps
+from residua.llm.common import WordHash, byte_column, documents_in, mix, released, stage_table, steps
 
 LENGTH = 400
 #: Bytes before and after the picked place that all its strings hold, places to pick from, bytes hashed at a place.
 BEFORE, AFTER, PLACES, GRAM = 100, 101, 200, 16
 #: Bytes of suffixes that a bucket is meant to hold.
 BUCKET_BYTES = 4 << 20
+#: Documents from which on a beginning is split by the bytes around it, and into how many classes.
+HOT, SHARES = 1000, 4
 #: Groups of up to so many entries are compared pair by pair, larger ones length by length.
 FEW = 24
 
@@ -96,7 +107,7 @@ def beginnings(docs: DataFrame) -> DataFrame:
             doc, _, _, _, context = picked(data, offsets)
             yield once_per_document(batch, doc, context)
 
-    return docs.select("text", pointer().alias("at")).mapInArrow(run, CONTEXTS)
+    return docs.select("text", pointer().alias("at")).mapInArrow(released(run), CONTEXTS)
 
 
 CONTEXTS = "context long, at long, many boolean"
@@ -140,7 +151,7 @@ def repeated_beginnings(found: DataFrame) -> DataFrame:
             last = c[-1] if keep[-1] else None
             yield from rows.filter(pa.array(keep)).to_batches()
 
-    return found.repartition("context").sortWithinPartitions("context").mapInArrow(run, found.schema)
+    return found.repartition("context").sortWithinPartitions("context").mapInArrow(released(run), found.schema)
 
 
 def shared_length(a: bytes, b: bytes, at: int = 0) -> int:
@@ -273,10 +284,25 @@ def repeated_strings(group: list[tuple[bytes, bytes, int]], shared: list[int]) -
     return out
 
 
+def shared_buckets(context: int, suffix: bytes, left: bytes, buckets: int) -> set[int]:
+    """Buckets of a suffix whose beginning is hot: one for each class of its strings.
+
+    Strings of class j have lo to hi left bytes, so equal ones have lo equal bytes on the
+    left, and LENGTH - hi from the beginning on.
+    """
+    out, room = set(), LENGTH - BEFORE - AFTER
+    for j in range(SHARES):
+        lo, hi = room * j // SHARES, room * (j + 1) // SHARES
+        if len(left) >= lo and len(suffix) >= LENGTH - hi:
+            key = zlib.crc32(suffix[: LENGTH - hi], zlib.crc32(left[:lo]))
+            out.add((context + (key * SHARES + j) * 0x9E3779B1) % buckets)
+    return out
+
+
 def sorted_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """Front-coded runs (blob) per task and bucket, and the places (doc_id, doc_key, begin, left) of each entry.
 
-    docs: doc_id, doc_key, text and `contexts`, the repeated beginnings.
+    docs: doc_id, doc_key, text, `contexts`, the repeated beginnings, and `hot`, those that very many documents hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,24 +326,25 @@ def sorted_runs(docs: DataFrame, buckets: int) -> DataFrame:
         held: dict[int, dict] = {}
         size = 0
         for batch in batches:
-            ids, keys, texts, wanted = (batch.column(c) for c in ("doc_id", "doc_key", "text", "contexts"))
+            ids, keys, texts, wanted, many = (batch.column(c) for c in ("doc_id", "doc_key", "text", "contexts", "hot"))
             for i in range(batch.num_rows):
                 data, offsets = byte_column(texts.slice(i, 1))
                 raw = data.tobytes()
                 _, lo, hi, place, context = picked(data, offsets)
                 keep = np.isin(context.view(np.int64), wanted[i].values.to_numpy(zero_copy_only=False))
-                doc, key = ids[i].as_py(), keys[i].as_py()
+                doc, key, hot = ids[i].as_py(), keys[i].as_py(), {h & 0xFFFFFFFFFFFFFFFF for h in many[i].as_py() or ()}
                 for a, b, p, c in zip(lo[keep].tolist(), hi[keep].tolist(), place[keep].tolist(), context[keep].tolist()):
                     begin = p - BEFORE
                     entry = (raw[begin : b + LENGTH], raw[a:begin][::-1])
-                    size += LENGTH if (places := held.setdefault(c % buckets, {}).setdefault(entry, [])) == [] else 40
-                    places.append((doc, key, begin))
+                    for bucket in shared_buckets(c, *entry, buckets) if c in hot else (c % buckets,):
+                        size += LENGTH if (places := held.setdefault(bucket, {}).setdefault(entry, [])) == [] else 40
+                        places.append((doc, key, begin))
             if size > 8 * room:
                 yield from out(held)
                 held, size = {}, 0
         yield from out(held)
 
-    return docs.mapInArrow(run, "bucket long, run string, entry long, blob binary, doc_id long, doc_key long, begin long")
+    return docs.mapInArrow(released(run), "bucket long, run string, entry long, blob binary, doc_id long, doc_key long, begin long")
 
 
 def repeated_entries(runs: DataFrame) -> DataFrame:
@@ -393,9 +420,10 @@ def same_document(a: DataFrame, b: DataFrame):
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, doc_key, n_bytes, n_removed, n_spans, kept_sha256."""
     d = documents_in(docs)
-    again = repeated_beginnings(beginnings(d))
-    wanted = again.groupBy("at").agg(F.collect_set("context").alias("contexts"))
-    both = d.withColumn("at", pointer()).join(wanted, "at", "left").select("doc_id", "doc_key", "text", "contexts")
+    again = stage_table(repeated_beginnings(beginnings(d)), "beginnings")
+    hot = stage_table(again.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("context", F.col("context").alias("hot")), "hot")
+    wanted = again.join(hot, "context", "left").groupBy("at").agg(F.collect_set("context").alias("contexts"), F.collect_set("hot").alias("hot"))
+    both = d.withColumn("at", pointer()).join(wanted, "at", "left").select("doc_id", "doc_key", "text", "contexts", "hot")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without repeated beginnings are done; the others keep their text."""
@@ -404,10 +432,10 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             rows = [(None,) * 4 if o else digest((t.as_py() or "").encode("utf-8", "surrogatepass"), []) for o, t in zip(open_, batch.column("text"))]
             done = _digests(batch.column("doc_id"), batch.column("doc_key"), rows)
             text = pa.array([t.as_py() if o else None for o, t in zip(open_, batch.column("text"))], pa.string())
-            yield pa.RecordBatch.from_arrays([*done.columns, text, batch.column("contexts")], [*done.schema.names, "text", "contexts"])
+            yield pa.RecordBatch.from_arrays([*done.columns, text, batch.column("contexts"), batch.column("hot")], [*done.schema.names, "text", "contexts", "hot"])
 
-    rows = stage_table(both.mapInArrow(finish, _DIGEST + ", text string, contexts array<long>"), "suffixes")
-    rest = rows.where("contexts is not null").select("doc_id", "doc_key", "text", "contexts")
+    rows = stage_table(both.mapInArrow(released(finish), _DIGEST + ", text string, contexts array<long>, hot array<long>"), "suffixes")
+    rest = rows.where("contexts is not null").select("doc_id", "doc_key", "text", "contexts", "hot")
     total = rest.agg(F.sum(F.size("contexts")).alias("n")).first().n or 0
     runs = stage_table(sorted_runs(rest.dropDuplicates(["doc_id", "doc_key"]), max(1, total * 300 // BUCKET_BYTES)), "runs")
     places = runs.where("entry >= 0").select("run", "entry", "doc_id", "doc_key", "begin")
@@ -421,7 +449,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             found = [digest(t.as_py().encode("utf-8", "surrogatepass"), [(x["a"], x["b"]) for x in s.as_py() or []]) for t, s in zip(batch.column("text"), batch.column("spans"))]
             yield _digests(batch.column("doc_id"), batch.column("doc_key"), found)
 
-    late = rest.join(spans, same_document(rest, spans), "left").select(rest["doc_id"], rest["doc_key"], "text", "spans").mapInArrow(cut, _DIGEST)
+    late = rest.join(spans, same_document(rest, spans), "left").select(rest["doc_id"], rest["doc_key"], "text", "spans").mapInArrow(released(cut), _DIGEST)
     return rows.where("contexts is null").select(*late.columns).unionByName(late)
 
 
