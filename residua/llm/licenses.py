@@ -18,8 +18,9 @@ words (a shorter text is one window). The join is exact:
   of these from there must lie inside it;
 * what remains is verified by the distinct words in the window.
 
-The templates are a parameter of bounded size (checked), so their side of the join is
-broadcast; texts are never shuffled, only the few pairs that are verified.
+The templates' side of the join is broadcast, at most MAX_TEMPLATE_WORDS words of it at a
+time; more templates are taken in as many slices as that needs. Texts are never shuffled,
+only the few pairs that are verified.
 
 Null text is empty: no words, no labels, score 0. Rows with equal doc_id and text are
 one document: each of them gets the same result. score is the largest containment of
@@ -43,10 +44,11 @@ TEMPLATES = (
     ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("apache-2-notice", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License."),
     ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("mpl-2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 THRESHOLD = 0.8
-#: Most template words that a join side may be broadcast with.
+#: Most template words that one broadcast or one IN filter holds.
 MAX_TEMPLATE_WORDS = 50_000
 
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -73,18 +75,33 @@ def template_words(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     spark = docs.sparkSession
     given = spark.createDataFrame(list(templates), "label string, text string").select("label", F.array_remove(F.split(spaced(F.col("text")), " "), "").alias("words"))
     given = given.select("label", F.size("words").alias("length"), F.array_distinct("words").alias("words"))
+    # Templates are a parameter, so they are on the driver anyway.
     vocabulary = sorted({w for r in given.collect() for w in r.words})
-    if len(vocabulary) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {len(vocabulary)} words; at most {MAX_TEMPLATE_WORDS} can be joined by broadcast")
-    held = F.filter(F.array_distinct(F.split(spaced(F.col("text")), " ")), lambda w: w.isin(vocabulary))
-    counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    ranked = given.select("label", "length", F.explode("words").alias("word")).join(F.broadcast(counts), "word", "left")
+    distinct = F.array_distinct(F.split(spaced(F.col("text")), " "))
+    if len(vocabulary) <= MAX_TEMPLATE_WORDS:
+        held = docs.select(F.explode(F.filter(distinct, lambda w: w.isin(vocabulary))).alias("word"))
+    else:
+        held = docs.select(F.explode(distinct).alias("word")).join(given.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
+    counts = held.groupBy("word").agg(F.count("*").alias("docs"))
+    ranked = given.select("label", "length", F.explode("words").alias("word")).join(counts, "word", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")))
     words = ranked.groupBy("label").agg(F.transform(order, lambda x: x["word"]).alias("words"), F.max("length").alias("length"))
     need = F.ceil(F.size("words") * F.lit(threshold) - 1e-9).cast("int")
     return words.select("label", "words", need.alias("need"), F.slice("words", 1, F.size("words") - need + 1).alias("prefix"), "length")
 
 
+def slices(templates: list, most: int) -> list[list]:
+    """Runs of templates of about `most` words each; one at least."""
+    out, size = [[]], 0
+    for t in templates:
+        if out[-1] and size + len(t.words) > most:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t.words)
+    return out
+
+
 def most_in_window(at: Column, length: Column, need: Column) -> Column:
     """Most distinct words in a window of `length` words, null if under `need`. at: the template's words in the text, with their places i."""
     reached = lambda k: F.coalesce(F.get(at, k + need - 1)["i"] - F.get(at, k)["i"] < length, F.lit(False))
@@ -121,7 +138,10 @@ def matching_texts(docs: DataFrame, templates: list) -> DataFrame:
 
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = matching_texts(docs, template_words(docs, templates, threshold).collect())
+    found = None
+    for part in slices(template_words(docs, templates, threshold).collect(), MAX_TEMPLATE_WORDS):
+        some = matching_texts(docs, part)
+        found = some if found is None else found.unionByName(some)
     found = found.groupBy("doc_id", "doc_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     line = spaced(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", doc_key().alias("doc_key"), line.alias("line"))

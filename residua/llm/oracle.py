@@ -32,10 +32,12 @@ ph(label, phrase) AS (VALUES {_VALUES(licenses.PHRASES)}),
 f AS (SELECT doc_id, i - 1 AS pos, label FROM g JOIN ph ON phrase = g3 OR phrase = g4),
 p AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY doc_id),
 te(label, text) AS (VALUES {_VALUES(licenses.TEMPLATES)}),
-tw AS (SELECT DISTINCT label, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS word FROM te), tn AS (SELECT label, count(*) AS size FROM tw GROUP BY label),
-ln AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, generate_subscripts(string_split({_LOWER}, chr(10)), 1) AS pos FROM documents),
-lw AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(line, {_ALNUM})) AS word FROM ln),
-c AS (SELECT doc_id, pos, label, count(*) / any_value(size) AS share FROM lw JOIN tw USING (word) JOIN tn USING (label) GROUP BY doc_id, pos, label HAVING count(*) >= {licenses.THRESHOLD} * any_value(size) - 1e-9),
+tl AS (SELECT label, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM te), tw AS (SELECT DISTINCT label, unnest(ws) AS word FROM tl),
+tn AS (SELECT label, len(ws) AS length, len(list_distinct(ws)) AS size FROM tl),
+ok AS (SELECT doc_id, label FROM (SELECT DISTINCT doc_id, label, word FROM w JOIN tw USING (word)) JOIN tn USING (label) GROUP BY doc_id, label HAVING count(*) >= {licenses.THRESHOLD} * any_value(size) - 1e-9),
+tp AS (SELECT doc_id, label, i, word FROM w JOIN tw USING (word) SEMI JOIN ok USING (doc_id, label)),
+c AS (SELECT a.doc_id, a.label, a.i, count(DISTINCT b.word) / any_value(size) AS share FROM tp a JOIN tn USING (label) JOIN tp b ON b.doc_id = a.doc_id AND b.label = a.label AND b.i >= a.i AND b.i < a.i + length
+  GROUP BY a.doc_id, a.label, a.i HAVING count(DISTINCT b.word) >= {licenses.THRESHOLD} * any_value(size) - 1e-9),
 m AS (SELECT doc_id, max(share) AS share FROM c GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM f UNION SELECT doc_id, label FROM c) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
