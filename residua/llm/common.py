@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def discard(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder that nothing reads any more, now or when the JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -37,9 +44,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
+    discard(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import LOWER, SPACE_WORDS, WordHash, is_word_table, stage_table, steps, word_spans
+from residua.llm.common import LOWER, SPACE_WORDS, WordHash, is_word_table, released, stage_table, steps, word_spans
 
 FEATURES = (
     "bytes", "words", "word_length", "upper", "symbols", "digits", "stops", "shouts", "bars", "lines",
@@ -86,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, pooled: float = POOLED, diagonal: float = DIAGONAL)
 
     rows = labelled.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label"))
     sums = np.zeros((2, size, size))
-    for r in rows.mapInArrow(run, "k long, i long, j long, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
+    for r in rows.mapInArrow(released(run), "k long, i long, j long, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
         sums[r.k, r.i, r.j] = r.v
     n = sums[:, 0, 0]
     if n.min() < 1:
@@ -158,4 +158,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = given.value.score(x) if given.value else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.select("doc_id", "x", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "x", held_out().alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, score double, predicted int")

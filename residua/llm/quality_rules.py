@@ -4,7 +4,8 @@ Per document: words (runs of anything but ASCII white space), their characters,
 characters, lines that repeat an earlier line, and words inside 8-word windows that the
 text holds twice or more. Across documents: lines are normalised (words lower-cased and
 joined by single spaces) and hashed; for each host (the source column) the distinct
-documents that hold a line are counted, where documents of equal text count once. A
+documents that hold a line are counted, where documents of equal text count once: copies
+of a document are what deduplication is for, and would make all its lines frequent. A
 line above the limit is boilerplate; a document whose text is mostly boilerplate is
 depleted and goes. The documents that stay lose their boilerplate lines (keep_good).
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import doc_key, stage_table
+from residua.llm.common import doc_key, free_name, stage_table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -142,12 +143,13 @@ def without_lines(text: Column, over: Column) -> Column:
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, and without boilerplate lines in those that stay; n_chars follows."""
     kept = judged(docs).where("kept").select("doc_id", "doc_key", "over_lines").distinct()
-    d = docs.withColumn("_doc_key", doc_key()).alias("d")
+    key, mark = free_name(docs, "doc_key"), free_name(docs, "cut")
+    d = docs.withColumn(key, doc_key()).alias("d")
     k = kept.alias("k")
-    rows = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._doc_key") == F.col("k.doc_key")))
+    rows = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{key}") == F.col("k.doc_key")))
     cut = F.col("k.over_lines").isNotNull()
     text = F.when(cut, without_lines(F.col("d.text"), F.col("k.over_lines"))).otherwise(F.col("d.text"))
     # The number of characters is taken from the text that is left, which is cut once.
-    rows = rows.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], cut.alias("_cut"))
-    n_chars = lambda c: F.when(F.col("_cut"), F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+    rows = rows.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], cut.alias(mark))
+    n_chars = lambda c: F.when(F.col(mark), F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
     return rows.select(*[n_chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -56,12 +56,41 @@ def test_substring_dedup(spark, seed):
     assert got(recompress.dedup_digest(frame(spark, docs))) == brute.substring_dedup(docs)
 
 
+@pytest.mark.parametrize("seed", [1, 5])
+def test_substring_dedup_of_hot_stretches(spark, monkeypatch, seed):
+    """All stretches are dealt to several tasks, over batches of a few rows; some rows have no id."""
+    monkeypatch.setattr(recompress, "HOT", 0)
+    monkeypatch.setattr(recompress, "SALTS", 3)
+    docs = corpus(seed)
+    passage = " ".join(f"p{i}" for i in range(70))
+    docs += [(200_000 + i, f"{i} {i} {passage} {i}") for i in range(80)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert got(recompress.dedup_digest(frame(spark, docs))) == brute.substring_dedup(docs)
+        nulls = spark.createDataFrame([(None, passage), (3, passage), (1, passage)], SCHEMA)
+        assert sorted((r.doc_id or 0, r.n_removed) for r in recompress.dedup_digest(nulls).collect()) == [(0, 0), (1, 70), (3, 70)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_suffix_dedup(spark, seed):
     docs = corpus(seed)
     assert got(suffixes.repeat_digest(frame(spark, docs))) == brute.suffix_dedup(docs)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_suffix_dedup_of_hot_beginnings(spark, monkeypatch, seed):
+    """All beginnings are split by the bytes around them, and into many buckets."""
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
+    docs = corpus(seed)
+    r = random.Random(seed)
+    passage = "".join(r.choice("abcdef ") for _ in range(460))
+    docs += [(200_000 + i, f"{'yz'[i % 2] * r.randint(0, 9)}{r.random()}{passage[r.randint(0, 60) : 460 - r.randint(0, 60)]}{r.random()}") for i in range(60)]
+    assert got(suffixes.repeat_digest(frame(spark, docs))) == brute.suffix_dedup(docs)
+
+
 def test_suffix_groups_of_many_entries():
     r = random.Random(5)
     middle = bytes(r.randrange(256) for _ in range(201))
@@ -100,6 +129,47 @@ def test_jaccard(spark, seed):
     assert got(jaccard.jaccard_digest(frame(spark, docs))) == brute.jaccard(docs)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_jaccard_in_blocks(spark, monkeypatch, seed):
+    """All signatures are compared in blocks, and every two blocks meet."""
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 900)
+    # No leaders: what links there are must come from the blocks.
+    monkeypatch.setattr(jaccard, "hub_pairs", lambda shared, weights, best=2: shared.sparkSession.createDataFrame([], "a long, b long"))
+    docs = corpus(seed, n=200)
+    assert got(jaccard.jaccard_digest(frame(spark, docs))) == brute.jaccard(docs)
+
+
+def test_jaccard_of_a_passage_that_very_many_share(spark):
+    """Over 1,500 different texts hold one passage (similarity under 0.8), and 400 are near copies of one text, but not of each other."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*passage, *(f"x{i}y{k}" for k in range(16))])) for i in range(1600)]
+    base = [f"b{i}" for i in range(100)]
+    rows.append((1900, " ".join(base)))
+    for i in range(2000, 2400):
+        w = list(base)
+        for at in r.sample(range(100), 2):
+            w[at] = f"e{r.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    out = got(jaccard.jaccard_digest(frame(spark, rows)))
+    assert {c for d, (_, c) in out.items() if d >= 1900} == {1900}
+    assert all(out[d] == (52, d) for d in range(1600))
+
+
+def test_similar_compares_words():
+    many = [b"%d" % i for i in range(60_000)]
+    assert jaccard.similar(many, many[100:]) and not jaccard.similar(many, many[20_000:])
+    r = random.Random(2)
+    for _ in range(300):
+        a = [r.choice([b"a", b"b"]) for _ in range(r.randint(1, 30))]
+        b = list(a)
+        b[r.randrange(len(b)) :] = [r.choice([b"a", b"b"]) for _ in range(r.randint(0, 6))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b or [b"a"]))
+        assert jaccard.similar(a, b or [b"a"]) == (5 * len(x & y) >= 4 * len(x | y))
+
+
 def test_one_of_each_group_with_repeated_ids(spark):
     say = lambda x: " ".join(f"{x}{i}" for i in range(40))
     near = lambda x: say(x) + " and more"
