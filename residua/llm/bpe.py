@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from residua.llm.common import released, steps
 
-#: Distinct pre-tokens in each of the two halves of a worker's memory (about 200 bytes each), and pairs of tokens.
-MEMO, PAIRS = 100_000, 50_000
+#: Distinct pre-tokens in each of the two halves of a worker's memory (about 200 bytes each), and pairs of tokens (about 100).
+MEMO, PAIRS = 300_000, 250_000
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
 #: Texts of more characters are cut into pre-tokens one at a time.
