@@ -60,7 +60,7 @@ BLOCK_SHINGLES = 1_000_000
 SKETCH_LEAST, SKETCH_MOST = 64, 4096
 #: Times as many where texts are at hand: the bound is then close to the difference itself.
 WIDER = 8
-#: A table of keys is broadcast up to so many rows (8 bytes each); beyond, it is joined by exchange.
+#: A table of keys is broadcast up to so many rows (16 bytes each); beyond, it is joined by exchange.
 BROADCAST_KEYS = 500_000
 
 
@@ -217,13 +217,21 @@ def shared_signatures(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(released(run), "sig long, sid long, members long")
 
 
-def hub_pairs(shared: DataFrame, weights: DataFrame, best: int = BEST) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
+    """table, marked for a broadcast if it has at most BROADCAST_KEYS rows (of two numbers each)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
+def hub_pairs(shared: DataFrame, best: int = BEST) -> DataFrame:
     """Candidate pairs (a, b): per signature its heaviest class with the others, at most `best` per class.
 
     A class is the heavier the more signatures it shares with the more others, so the text
-    that many are near copies of leads them.
+    that many are near copies of leads them. Signatures of up to FEW members need no
+    leader: their members are all compared later.
     """
-    rows = shared.select("sig", "sid").join(weights, "sid")
+    shared = shared.where(F.col("members") > FEW).select("sig", "sid", "members")
+    weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
+    rows = shared.select("sig", "sid").join(small(weights), "sid")
     # A table of its own, so that the join below can split a signature with very many members.
     lead = stage_table(rows.groupBy("sig").agg(F.max(F.struct("weight", "sid")).alias("r")).select("sig", F.col("r.sid").alias("a")), "lead")
     pairs = shared.select("sig", "sid").join(lead, "sig").where("a <> sid").select("a", F.col("sid").alias("b"))
@@ -281,8 +289,7 @@ def similar(a: list[bytes], b: list[bytes], similarity: Fraction = SIMILARITY, l
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, by their texts. texts: (sid, text), a row per class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(wanted), "sid", "left_semi")
+    texts = texts.join(small(wanted), "sid", "left_semi")
     t = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     u = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
@@ -371,7 +378,7 @@ def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame
 
 def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that join the components which still share a signature. classes: sid, n_shingles, sketch."""
-    rows = shared.select("sig", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    rows = shared.select("sig", "sid").join(small(labels), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
     mixed = stage_table(mixed, "mixed")
     few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(classes, "sid")
@@ -487,15 +494,14 @@ def jaccard_members(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataF
     """A row per row of docs: doc_id, doc_key, n_shingles, and comp, the component's own key (null: stands alone)."""
     rows = stage_table(classes_of(docs), "sets")
     shared = stage_table(shared_signatures(signed(docs)), "shared")
-    weights = stage_table(shared.groupBy("sid").agg(F.sum("members").alias("weight")), "weights")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "doc_key", "n_shingles", "sketch")).alias("r")).select("sid", "r.*")
-    wanted = stage_table(weights.select("sid").join(classes, "sid"), "classes")
+    wanted = stage_table(shared.select("sid").distinct().join(classes, "sid"), "classes")
     keys = wanted.select("sid", F.col("doc_id").alias("k_id"), F.col("doc_key").alias("k_key"))
     d = documents_in(docs)
     found = d.join(keys, (d.doc_id == keys.k_id) & (d.doc_key == keys.k_key)).dropDuplicates(["k_id", "k_key"])
     texts = stage_table(found.select("sid", "text"), "texts")
     sketches = wanted.select("sid", "n_shingles", "sketch")
-    tested = stage_table(hub_pairs(shared, weights), "tested")
+    tested = stage_table(hub_pairs(shared), "tested")
     links = stage_table(verified(stage_table(likely(tested, sketches, similarity), "likely"), texts, similarity), "links")
     labels = components(links)
     rest = across_components(shared, labels, sketches, texts, tested, similarity)

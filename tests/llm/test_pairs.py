@@ -136,7 +136,7 @@ def test_jaccard_in_blocks(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 900)
     # No leaders: what links there are must come from the blocks.
-    monkeypatch.setattr(jaccard, "hub_pairs", lambda shared, weights, best=2: shared.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard, "hub_pairs", lambda shared, best=2: shared.sparkSession.createDataFrame([], "a long, b long"))
     docs = corpus(seed, n=200)
     assert got(jaccard.jaccard_digest(frame(spark, docs))) == brute.jaccard(docs)
 
