@@ -81,4 +81,24 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM l LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-SQL = {"op2_substring_dedup": OP2, "op4_license_scan": OP4, "op6_jaccard_join": OP6, "op7_quality_rules": OP7, "op9_decontamination": OP9}
+OP11 = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label = r.label AS same, r.id, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.id % 100 = 0 AND a.id <> r.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER o <= 10"""
+
+OP13 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS pos, struct_pack(r := r, x := x, w := len(regexp_extract_all(x, {_SPACE}))) AS one
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [256 + ascii(ch), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+  lambda a, b: CASE WHEN b >= 256 THEN xor(a, b - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, one FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT conv_id, pos, one FROM c JOIN t USING (conv_id) WHERE pos > h),
+l AS (SELECT conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN (SELECT conv_id, list(one ORDER BY pos) AS turns FROM r GROUP BY conv_id) USING (conv_id)),
+e AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM l),
+g AS (SELECT list_slice(turns, 1, depth) AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM e GROUP BY ALL),
+k AS (SELECT list_slice(prefix, 1, depth - 1) AS prefix, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * prefix[-1].w ELSE 0 END AS own FROM g LEFT JOIN k USING (prefix)),
+u AS (SELECT list_slice(prefix, 1, up) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM (SELECT prefix, n_children, own, unnest(range(0, depth + 1)) AS up FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends_sha256 FROM a JOIN u USING (prefix) LEFT JOIN g p ON a.depth > 0 AND p.prefix = list_slice(a.prefix, 1, a.depth - 1)"""
+
+SQL = {"op2_substring_dedup": OP2, "op4_license_scan": OP4, "op6_jaccard_join": OP6, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op11_hard_negatives": OP11, "op13_conversation_trie": OP13}

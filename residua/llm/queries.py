@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import bpe, decontaminate, jaccard, licenses, oracle, quality_model, quality_rules, recompress, secrets, suffixes
+from residua.llm import bpe, conversations, decontaminate, jaccard, licenses, mixing, negatives, oracle, quality_model, quality_rules, recompress, secrets, suffixes
 from residua.llm.common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie_digest(table(spark, sf_dir, "conversations"))
