@@ -224,7 +224,7 @@ def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
 
     pieces = rows.select("at", F.explode(F.transform(F.sequence(first, last), piece)).alias("x")).select("at", "x.*")
     whole = pieces.groupBy("at", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "piece"))), lambda x: x["piece"]), " ").alias("text"))
-    return slots(docs.sparkSession, p).join(whole, ["at", "block"]).join(names, "at").select("shard", "slot", "source", "block", "text")
+    return slots(docs.sparkSession, p).hint("merge").join(whole, ["at", "block"]).join(names, "at").select("shard", "slot", "source", "block", "text")
 
 
 def mix_digest(docs: DataFrame, **how) -> DataFrame:
@@ -232,7 +232,8 @@ def mix_digest(docs: DataFrame, **how) -> DataFrame:
     placed, p = packed(docs, **how)
     rows = copies_of(placed)
     times = slots(docs.sparkSession, p).groupBy("at", "block").agg(F.count("*").alias("times"))
-    held = segments(rows, p.block_words).select("at", "doc_id", "size", "start", "block", "words").join(times, ["at", "block"], "left")
+    # Slots grow with the table, but Spark takes them for as many as shards: without the hint it would broadcast them.
+    held = segments(rows, p.block_words).select("at", "doc_id", "size", "start", "block", "words").join(times.hint("merge"), ["at", "block"], "left")
     taken = held.groupBy("at", "doc_id", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     every = taken.select("at", "doc_id", "size", "taken").unionByName(rows.where("size = 0").select("at", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     told = F.broadcast(docs.sparkSession.createDataFrame([(i, x, float(t)) for i, (x, t) in enumerate(zip(p.sizes, p.targets))], "at long, source_size long, target double"))
