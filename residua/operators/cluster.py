@@ -1,59 +1,15 @@
-"""Clustering of projected points: Ward over micro-clusters, spectral, density."""
+"""Clustering of projected points: Ward, spectral and density, with what is told about their labels."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.operators.graph import components
-
-#: Most micro-clusters that Ward merging takes to the driver.
-MICRO = 256
-
-
-def ward_merge(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Label of each weighted centre after merging the pair of least growth in squared error until k are left."""
-    centre, weight = centres.astype(float).copy(), weights.astype(float).copy()
-    label, alive = np.arange(len(centre)), list(range(len(centre)))
-    while len(alive) > k:
-        c, w = centre[alive], weight[alive]
-        cost = np.square(c[:, None] - c[None]).sum(axis=2) * (w[:, None] * w[None] / (w[:, None] + w[None]))
-        np.fill_diagonal(cost, np.inf)
-        i, j = divmod(int(cost.argmin()), len(alive))
-        a, b = alive[min(i, j)], alive[max(i, j)]
-        centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
-        weight[a] += weight[b]
-        label[label == b] = a
-        alive.remove(b)
-    return np.searchsorted(np.sort(np.unique(label)), label)
-
-
-def hierarchical(rows: DataFrame, k: int = 2, micro: int = MICRO, seed: int = 1) -> DataFrame:
-    """rows (structure, z1, z2) with `cluster`: Ward merging of at most `micro` micro-clusters.
-
-    Up to `micro` distinct points each is its own micro-cluster, so the result is that of
-    Ward on all points; beyond, k-means on Spark makes the micro-clusters and only they,
-    a bounded number, go to the driver.
-    """
-    spark = rows.sparkSession
-    few = rows.select("z1", "z2").distinct().limit(micro + 1).count() <= micro
-    if few:
-        named = rows.withColumn("micro", F.struct("z1", "z2"))
-        sums = named.groupBy("z1", "z2").agg(F.count("*").alias("n")).orderBy("z1", "z2").collect()
-        labels = ward_merge(np.array([(r.z1, r.z2) for r in sums]), np.array([r.n for r in sums]), k)
-        table = spark.createDataFrame([(r.z1, r.z2, int(x)) for r, x in zip(sums, labels)], "z1 double, z2 double, cluster int")
-        return named.drop("micro").join(F.broadcast(table), ["z1", "z2"])
-    vectors = rows.withColumn("_v", array_to_vector(F.array("z1", "z2")))
-    model = KMeans(k=micro, seed=seed, featuresCol="_v", predictionCol="_m").fit(vectors)
-    told = model.transform(vectors).drop("_v")
-    sums = told.groupBy("_m").agg(F.count("*").alias("n"), F.avg("z1").alias("x"), F.avg("z2").alias("y")).orderBy("_m").collect()
-    labels = ward_merge(np.array([(r.x, r.y) for r in sums]), np.array([r.n for r in sums]), k)
-    table = spark.createDataFrame([(r["_m"], int(x)) for r, x in zip(sums, labels)], "_m int, cluster int")
-    return told.join(F.broadcast(table), "_m").drop("_m")
+from residua.operators.density import density, density_sweep  # noqa: F401
+from residua.operators.spectral import spectral  # noqa: F401
+from residua.operators.ward import hierarchical  # noqa: F401
 
 
 def near_pairs(rows: DataFrame, radius: float) -> DataFrame:
@@ -66,29 +22,6 @@ def near_pairs(rows: DataFrame, radius: float) -> DataFrame:
     return at.join(other, ["gx", "gy"]).where("id < b").select(F.col("id").alias("a"), "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def spectral(rows: DataFrame, k: int = 2, gamma: float = 1.0, least: float = 1e-3, iterations: int = 20) -> DataFrame:
-    """id, cluster by power iteration over affinities exp(-gamma d^2) of at least `least`."""
-    radius = float(np.sqrt(-np.log(least) / gamma))
-    edges = near_pairs(rows, radius).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.exp(-gamma * F.col("d2")).alias("weight"))
-    found = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(edges)
-    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
-def density(rows: DataFrame, radius: float, min_samples: int, min_cluster_size: int) -> DataFrame:
-    """id, cluster: points with min_samples neighbours (themselves included) within the radius, linked; others -1.
-
-    A component below min_cluster_size is noise. Clusters are numbered by their smallest id.
-    """
-    near = near_pairs(rows, radius)
-    degree = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg((F.count("*") + 1).alias("n"))
-    core = rows.select("id").join(degree, "id", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id")
-    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    comp = core.join(components(links.select("a", "b")).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    big = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size)
-    number = big.withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)  # a row per cluster
-    return rows.select("id").join(comp.join(number, "component").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
 def silhouette(rows: DataFrame, labels: DataFrame) -> float | None:
     """Mean silhouette (squared distances), noise counted as a cluster; null for fewer than two clusters."""
     both = rows.join(labels, "id").withColumn("_v", array_to_vector(F.array("z1", "z2")))
@@ -97,17 +30,6 @@ def silhouette(rows: DataFrame, labels: DataFrame) -> float | None:
     return ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(both)
 
 
-def density_sweep(rows: DataFrame, radius: float, min_samples: list[int], min_sizes: list[int]) -> DataFrame:
-    """min_samples, min_size, clusters, noise and silhouette of each setting."""
-    out = []
-    for s in min_samples:
-        for m in min_sizes:
-            labels = density(rows, radius, s, m)
-            r = labels.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.count_if(F.col("cluster") < 0).alias("noise")).first()
-            out.append((s, m, r.k, r.noise, silhouette(rows, labels)))
-    return rows.sparkSession.createDataFrame(out, "min_samples int, min_size int, clusters long, noise long, silhouette double")
-
-
 def nearest_core(rows: DataFrame, fitted: DataFrame, radius: float) -> DataFrame:
     """id, cluster of new points: that of the nearest clustered point within the radius, else -1. fitted: id, z1, z2, cluster."""
     core = fitted.where("cluster >= 0").select((-F.col("id") - 1).alias("id"), "z1", "z2")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.operators import alignment as al
-from residua.operators.ranges import quantiles
+from residua.operators.ranges import group_quantiles, quantiles
 
 
 def residue_pairs(rows: DataFrame, pos: str = "pos", structure: str = "structure") -> DataFrame:
@@ -58,7 +58,8 @@ def pair_dictionary(long: DataFrame) -> DataFrame:
 
 def feature_medians(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Exact median per feature over all rows, labelled or not."""
-    return long.groupBy(feature).agg(F.median(value).alias("median"))
+    named = long.select(feature).distinct()
+    return named.join(group_quantiles(long, feature, value).withColumnRenamed("quantile", "median"), feature, "left")
 
 
 def densified(long: DataFrame, structures: DataFrame, features: DataFrame, on: tuple[str, str] = ("structure", "feature")) -> DataFrame:
@@ -74,8 +75,10 @@ def imputed(dense: DataFrame, strategy: str = "median", feature: str = "feature"
     """dense with missing values filled per feature by median, mean or zero; flag `imputed`."""
     if strategy == "zero":
         stat = dense.select(feature).distinct().withColumn("fill", F.lit(0.0))
+    elif strategy == "mean":
+        stat = dense.groupBy(feature).agg(F.avg("value").alias("fill"))
     else:
-        stat = dense.groupBy(feature).agg((F.median if strategy == "median" else F.avg)("value").alias("fill"))
+        stat = group_quantiles(dense, feature, "value").withColumnRenamed("quantile", "fill")
     out = dense.join(stat, feature, "left").withColumn("imputed", F.col("value").isNull())
     return out.withColumn("value", F.coalesce("value", "fill")).drop("fill")
 

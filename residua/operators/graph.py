@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     Smallest labels go along edges, then each label is looked up through its own label;
     rounds grow with the logarithm of a component's width.
     """
-    ends = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both_ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = written(edges.select(both_ways.alias("e")).select("e.*").distinct())
     labels = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))

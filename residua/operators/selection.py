@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from residua.operators.ranges import least_by_hash
 
@@ -118,58 +121,152 @@ def correlated_pairs(dense: DataFrame, threshold: float) -> DataFrame:
     return r.where(F.col("r") > threshold)
 
 
-def gram_pairs(dense: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """The same for many features: standardised rows, and block products summed over structures.
+def unit_columns(dense: DataFrame, block: int, pivots: int = 8) -> tuple[DataFrame, list]:
+    """structure, feature, z (values without their mean, scaled to a length of one per feature), and per feature its id, spread and angles to the pivots.
 
-    A structure's row is cut into feature blocks; pairs of blocks of one chunk of structures
-    are multiplied in NumPy and summed by block pair, so no task holds more than a block
-    square and F^2 values are never materialised as rows (only edges are).
+    The list has a row per feature. Pivots are features spread evenly over the ids; up to
+    one block of features has none.
     """
-    import numpy as np
-    import pandas as pd
-
     from residua.operators.features import imputed
+    from residua.operators.graph import written
+
+    x = written(imputed(dense).select("structure", "feature", "value"))
+    stats = x.groupBy("feature").agg(F.avg("value").alias("m"), F.sqrt(F.var_pop("value") * F.count("value")).alias("s"))
+    found = sorted(stats.collect(), key=lambda r: r["feature"])  # a row per feature
+    z = F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0)
+    table = x.sparkSession.createDataFrame([(r["feature"], r["m"], r["s"]) for r in found], x.select("feature").schema.add("m", "double").add("s", "double"))
+    unit = x.join(F.broadcast(table), "feature").select("structure", "feature", z.alias("z"))
+    spread = [r["feature"] for r in found if r["s"] and r["s"] > 0]
+    chosen = sorted({spread[k * len(spread) // pivots] for k in range(pivots)}) if len(spread) > block else []
+    angles: dict = {}
+    if chosen:
+        own = unit.where(F.col("feature").isin(chosen)).groupBy("structure").agg(*[F.sum(F.when(F.col("feature") == p, F.col("z"))).alias(f"p{k}") for k, p in enumerate(chosen)])
+        near = unit.join(own, "structure").groupBy("feature").agg(*[F.sum(F.col("z") * F.col(f"p{k}")).alias(f"p{k}") for k in range(len(chosen))])
+        angles = {r["feature"]: [math.acos(min(1.0, max(-1.0, r[f"p{k}"] or 0.0))) for k in range(len(chosen))] for r in near.collect()}
+    return unit, [(f, angles.get(f, [])) for f in spread]
+
+
+def open_blocks(order: list, width: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of blocks of features that may hold a correlation above the threshold.
+
+    The angle between two features is at least the difference of their angles to any third
+    one, so blocks whose angles to a pivot lie farther apart than the threshold's have none.
+    """
+    most = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+    blocks = [list(zip(*[a for _, a in order[k : k + width]])) for k in range(0, len(order), width)]
+    spans = [[(min(a), max(a)) for a in b] for b in blocks]
+    apart = lambda p, q: any(x[0] - y[1] > most or y[0] - x[1] > most for x, y in zip(p, q))
+    return [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if i == j or not apart(spans[i], spans[j])]
 
-    x = imputed(dense).select("structure", "feature", "value")
-    stats = x.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    number = stats.withColumn("at", F.row_number().over(Window.orderBy("feature")) - 1)  # a row per feature
-    n_structures = x.select("structure").distinct().count()
-    z = x.join(F.broadcast(number), "feature").select("structure", "feature", "at", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0).alias("z"))
-    chunks = F.pmod(F.xxhash64("structure"), F.lit(max(1, n_structures // 2048)))
-    cells = z.select(chunks.alias("chunk"), (F.col("at") / block).cast("int").alias("block"), "structure", (F.col("at") % block).cast("int").alias("at"), "z")
-    packed = cells.groupBy("chunk", "block").agg(F.array_sort(F.collect_list(F.struct("structure", "at", "z"))).alias("rows"))
-    left, right = packed.select("chunk", F.col("block").alias("i"), F.col("rows").alias("u")), packed.select("chunk", F.col("block").alias("j"), F.col("rows").alias("v"))
+
+def gram_pairs(dense: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """The same for many features: products of blocks of features, summed over structures in packed rows.
+
+    A structure's values are cut into blocks of features, each packed into one binary row.
+    A task takes one pair of blocks and a share of the structures, streams their rows in
+    the order of the structures and adds up one block square; shares are summed row by row
+    of the square. Only edges leave. Blocks are made of features that have similar angles to
+    some pivots, and pairs of blocks that the angles rule out are not multiplied. Constant
+    features have no partners.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = dense.sparkSession
+    unit, order = unit_columns(dense, block)
+    order.sort(key=lambda r: (min(range(len(r[1])), key=lambda k: r[1][k]), min(r[1]), r[0]) if r[1] else (0, 0, r[0]))
+    width = min(block, max(1, len(order)))
+    pairs = open_blocks(order, width, threshold)
+    kind = dense.select(F.col("feature").alias("name")).schema
+    names = spark.createDataFrame([(k, f) for k, (f, _) in enumerate(order)], StructType([StructField("at", LongType()), *kind.fields]))
+    if not pairs:
+        return spark.createDataFrame([], StructType([StructField("a", kind[0].dataType), StructField("b", kind[0].dataType), StructField("r", DoubleType())]))
+    cells = unit.join(F.broadcast(names), F.col("feature") == F.col("name")).select(F.xxhash64("structure").alias("key"), F.floor(F.col("at") / width).cast("int").alias("block"), (F.col("at") % width).cast("int").alias("at"), "z")
+
+    def packed(batches):
+        key, block_, row = None, None, None
+        for batch in batches:
+            k, b, at, z = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "at", "z"))
+            cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, int)
+            group = np.zeros(len(k), int)
+            group[cuts[1:]] = 1
+            group = np.cumsum(group)
+            square = np.zeros((len(cuts), width))
+            square[group, at] = z
+            if not len(cuts):
+                continue
+            if row is not None:
+                if (key, block_) == (k[0], b[0]):
+                    square[0] += row
+                else:
+                    yield pa.RecordBatch.from_pydict({"key": np.array([key]), "block": np.array([block_], np.int32), "v": pa.array([row.tobytes()], pa.binary())})
+            key, block_, row = k[-1], b[-1], square[-1]
+            yield pa.RecordBatch.from_pydict({"key": k[cuts[:-1]], "block": b[cuts[:-1]].astype(np.int32), "v": pa.array([r.tobytes() for r in square[:-1]], pa.binary())})
+        if row is not None:
+            yield pa.RecordBatch.from_pydict({"key": np.array([key]), "block": np.array([block_], np.int32), "v": pa.array([row.tobytes()], pa.binary())})
+
+    rows = cells.repartition("key").sortWithinPartitions("key", "block").mapInArrow(packed, "key long, block int, v binary")
+    shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(pairs)))
+    table = F.broadcast(spark.createDataFrame([(n, i, j) for n, (i, j) in enumerate(pairs)], "pair int, i int, j int"))  # pairs of blocks
+    left = rows.join(table, F.col("block") == F.col("i")).select("pair", "key", F.lit(0).alias("side"), "v")
+    if any(i != j for i, j in pairs):
+        left = left.unionByName(rows.join(table, (F.col("block") == F.col("j")) & (F.col("i") != F.col("j"))).select("pair", "key", F.lit(1).alias("side"), "v"))
+    dealt = left.withColumn("cell", (F.col("pair") * shares + F.pmod("key", F.lit(shares))).cast("int")).repartitionById(len(pairs) * shares, F.col("cell")).sortWithinPartitions("cell", "key", "side")
+    alone = [i == j for i, j in pairs]
 
     def product(batches):
-        for pdf in batches:
+        def squares(cell, total):
+            if total is not None:
+                at = np.arange(width, dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({"pair": np.full(width, cell // shares, np.int32), "p": at, "v": pa.array([r.tobytes() for r in total], pa.binary())})
+
+        cell, total, waiting = None, None, None
+        for batch in batches:
+            c, key, side = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "key", "side"))
+            v = np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(-1, width)
+            for at in np.split(np.arange(len(c)), np.flatnonzero(np.diff(c)) + 1):
+                if not len(at):
+                    continue
+                if c[at[0]] != cell:
+                    yield from squares(cell, total)
+                    cell, total, waiting = int(c[at[0]]), np.zeros((width, width)), None
+                if alone[cell // shares]:
+                    total += v[at].T @ v[at]
+                    continue
+                k, s, m = key[at], side[at], v[at]
+                if waiting is not None:
+                    k, s, m = np.r_[waiting[0], k], np.r_[0, s], np.concatenate([waiting[1][None], m])
+                first = np.flatnonzero((s[:-1] == 0) & (s[1:] == 1) & (k[:-1] == k[1:]))
+                total += m[first].T @ m[first + 1]
+                waiting = (k[-1], m[-1].copy()) if s[-1] == 0 else None
+        yield from squares(cell, total)
+
+    def edges(batches):
+        def of(pair, p, sums):
+            i, j = pairs[pair]
+            q = np.flatnonzero(sums > threshold)
+            q = q[j * width + q > i * width + p]
+            return np.full(len(q), i * width + p), j * width + q, sums[q]
+
+        here, sums = None, None
+        for batch in batches:
             out = []
-            for u, v in zip(pdf.u, pdf.v):
-                names = {s: k for k, s in enumerate(sorted({x["structure"] for x in u} | {x["structure"] for x in v}))}
-                a, b = np.zeros((len(names), block)), np.zeros((len(names), block))
-                for m, rows in ((a, u), (b, v)):
-                    for x in rows:
-                        m[names[x["structure"]], x["at"]] = x["z"]
-                out.append((a.T @ b).ravel().tolist())
-            yield pd.DataFrame({"i": pdf.i, "j": pdf.j, "g": out})
-
-    def edges_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sum a block pair's products over all chunks; only pairs over the threshold come out."""
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        r = np.sum(np.stack([np.asarray(g) for g in pdf.g]), axis=0).reshape(block, block) / (n_structures - 1)
-        p, q = np.nonzero(r > threshold)
-        keep = i * block + p < j * block + q
-        return pd.DataFrame({"p": i * block + p[keep], "q": j * block + q[keep], "r": r[p[keep], q[keep]]})
-
-    parts = left.join(right, "chunk").where("i <= j").select("i", "j", "u", "v").mapInPandas(product, "i int, j int, g array<double>")
-    # Two rounds: sums of a few chunks each, then of those, so that no task holds more than some hundred block squares.
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf.i.iloc[:1], "j": pdf.j.iloc[:1], "g": [np.sum(np.stack([np.asarray(g) for g in pdf.g]), axis=0)]})
-
-    few = max(1, int((n_structures / 2048) ** 0.5))
-    some = parts.withColumn("s", (F.rand(1) * few).cast("int")).groupBy("i", "j", "s").applyInPandas(summed, "i int, j int, g array<double>")
-    edges = some.groupBy("i", "j").applyInPandas(edges_of, "p long, q long, r double")
-    name = number.select("at", "feature")
-    return edges.join(name.select(F.col("at").alias("p"), F.col("feature").alias("a")), "p").join(name.select(F.col("at").alias("q"), F.col("feature").alias("b")), "q").select("a", "b", "r")
+            for pair, p, v in zip(*(batch.column(n).to_pylist() for n in ("pair", "p", "v"))):
+                if (pair, p) != here:
+                    if here:
+                        out.append(of(*here, sums))
+                    here, sums = (pair, p), np.zeros(width)
+                sums = sums + np.frombuffer(v)
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip("pqr", map(np.concatenate, zip(*out)))))
+        if here:
+            yield pa.RecordBatch.from_pydict(dict(zip("pqr", of(*here, sums))))
+
+    parts = dealt.mapInArrow(product, "pair int, p int, v binary")
+    found = parts.repartition("pair", "p").sortWithinPartitions("pair", "p").mapInArrow(edges, "p long, q long, r double")
+    one, two = (F.broadcast(names.select(F.col("at").alias(x), F.col("name").alias(y))) for x, y in (("p", "a"), ("q", "b")))  # a row per feature
+    ends = found.join(one, "p").join(two, "q")
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r")
 
 
 def correlation_groups(dense: DataFrame, threshold: float = 0.90, many: bool = True) -> DataFrame:
