@@ -59,19 +59,105 @@ def tree_importances(model: RandomForestClassificationModel, rows: DataFrame) ->
     return whole.join(out, "feature")
 
 
+class LeafSets:
+    """A tree whose leaves are found by sets: the leaves that the splits on one feature leave open, for each range of its values.
+
+    A row's leaf is the first one that all features leave open, so a changed value of one
+    feature needs that feature's set and the others' common set only. Sets are bits in
+    64-bit words, leaves from left to right.
+    """
+
+    def __init__(self, tree: dict[str, np.ndarray]):
+        left, right, feature = tree["left"], tree["right"], tree["feature"]
+        leaves, spans = [], {}
+
+        def walk(node: int) -> tuple[int, int]:
+            if feature[node] < 0:
+                leaves.append(node)
+                spans[node] = (len(leaves) - 1, len(leaves))
+            else:
+                spans[node] = (walk(left[node])[0], walk(right[node])[1])
+            return spans[node]
+
+        walk(0)
+        self.value = tree["value"][leaves]
+        words = -(-len(leaves) // 64)
+        splits: dict[int, list] = {}
+        for node in np.flatnonzero(feature >= 0):
+            splits.setdefault(int(feature[node]), []).append((float(tree["threshold"][node]), spans[left[node]]))
+        self.features = sorted(splits)
+        self.thresholds, self.open = [], []
+        for f in self.features:
+            splits[f].sort()
+            sets = np.full((len(splits[f]) + 1, words * 64), True)
+            for k, (_, (begin, end)) in enumerate(splits[f]):
+                sets[k + 1] = sets[k]
+                sets[k + 1, begin:end] = False  # a value above the threshold closes what is to the left of the split
+            self.thresholds.append(np.array([t for t, _ in splits[f]]))
+            self.open.append(np.packbits(sets, axis=1, bitorder="little").view(np.uint64))
+        self.words = words
+
+    def sets(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each of the tree's features the sets of all rows."""
+        return [o[np.searchsorted(t, x[:, f])] for f, t, o in zip(self.features, self.thresholds, self.open)]
+
+    def leaf(self, sets: np.ndarray) -> np.ndarray:
+        word = (sets != 0).argmax(axis=1)
+        bits = sets[np.arange(len(sets)), word]
+        lowest = bits & (~bits + np.uint64(1))
+        return word * 64 + np.log2(lowest.astype(np.float64)).astype(np.int64)
+
+    def swapped(self, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Class shares of the rows x, and for each of the tree's features those with its values from v."""
+        own, new = self.sets(x), self.sets(v)
+        full = np.full((len(x), self.words), ~np.uint64(0))
+        before = [full]
+        for s in own:
+            before.append(before[-1] & s)
+        shares, after = [None] * len(own), full
+        for k in range(len(own) - 1, -1, -1):
+            shares[k] = self.value[self.leaf(before[k] & after & new[k])]
+            after = after & own[k]
+        return self.value[self.leaf(before[-1])], shares
+
+
+def swapped_hits(forest: list[LeafSets], x: np.ndarray, v: np.ndarray, label: np.ndarray, n_features: int) -> tuple[int, np.ndarray]:
+    """Right predictions for the rows x, and for each feature with its values from v; only trees that split on it are scored again."""
+    each = [t.swapped(x, v) for t in forest]
+    whole = sum(own for own, _ in each)
+    right = lambda shares: int((np.round(shares, 9).argmax(axis=1) == label).sum())  # noqa: E731  equal shares: the first class
+    changes: dict[int, np.ndarray] = {}
+    for t, (own, new) in zip(forest, each):
+        for f, shares in zip(t.features, new):
+            changes[f] = changes.get(f, 0.0) + (shares - own)
+    base = right(whole)
+    return base, np.array([right(whole + changes[f]) if f in changes else base for f in range(n_features)])
+
+
 def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, repeats: int = 10, seed: int = 42, features: int | None = None) -> DataFrame:
     """feature, mean and std of the loss in accuracy when its values are dealt anew among rows.
 
     Rows are numbered by range. A repeat deals them by a one-to-one map of numbers,
     (a * i + b) mod n with a seeded a that has no divisor in common with n, so each row's
-    donor is a row of the same table, found by one join per repeat; the donor's values then
-    take the row's place feature by feature, next to each other, without another exchange.
+    donor is a row of the same table, found by one join per repeat. A row and its donor are
+    scored together: per feature only the trees that split on it, from sets of open leaves
+    (`LeafSets`). No row is copied per feature; a batch gives one count per feature.
     """
+    spark = rows.sparkSession
     n_features = features or model.numFeatures
     n = rows.count()
-    base = predict(model, rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("base"))
     numbered = written(numbered_by_range(rows.select("structure", "label", "x"), "structure"))
+    forest = spark.sparkContext.broadcast([LeafSets(t) for t in forest_arrays(model)])
     dice, told = random.Random(seed), None
+
+    def score(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                x, v = (np.stack([np.asarray(r, float) for r in part[c]]) for c in ("x", "v"))
+                base, hits = swapped_hits(forest.value, x, v, part.label.to_numpy(), n_features)
+                yield pd.DataFrame({"repeat": part["repeat"].iloc[0], "feature": np.arange(n_features, dtype=np.int32), "lost": base - hits, "n": len(part)})
+
     for k in range(repeats):
         a, b = 1, dice.randrange(max(1, n))
         while n > 2 and (a == 1 or math.gcd(a, n) > 1):
@@ -80,14 +166,11 @@ def permutation_importance(model: RandomForestClassificationModel, rows: DataFra
                 a = n - 1
         donor = F.pmod(F.col("number") * a + b, F.lit(n))
         given = numbered.select(F.col("number").alias("from"), F.col("x").alias("v"))
-        pairs = numbered.withColumn("from", donor).join(given, "from")
-        swapped = lambda f: F.transform("x", lambda e, i: F.when(i == f, F.get("v", f)).otherwise(e))
-        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda f: F.struct(f.alias("feature"), swapped(f).alias("x"))))
-        dealt = pairs.select("structure", "label", each.alias("e")).select("structure", "label", "e.feature", "e.x")
-        right = F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")
-        one = predict(model, dealt).groupBy("feature").agg(right).withColumn("repeat", F.lit(k))
+        pairs = numbered.withColumn("from", donor).join(given, "from").select("label", "x", "v", F.lit(k).alias("repeat"))
+        one = pairs.mapInPandas(score, "repeat int, feature int, lost long, n long")
         told = one if told is None else told.unionByName(one)
-    return told.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("accuracy")).alias("mean"), F.stddev_pop(F.col("base") - F.col("accuracy")).alias("std"))
+    loss = told.groupBy("feature", "repeat").agg((F.sum("lost") / F.sum("n")).alias("loss"))
+    return loss.groupBy("feature").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std"))
 
 
 def forest_arrays(model: RandomForestClassificationModel) -> list[dict[str, np.ndarray]]:
@@ -119,45 +202,48 @@ def tree_attributions(tree: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.nd
 
     For every leaf, the features on its path form a game whose value is the leaf's share
     times, per feature, 1 or 0 where the row decides and the covers' ratio where it does
-    not; the Shapley value of such a product has a closed form by the polynomial of its
-    factors. All rows of a batch are taken at once.
+    not. Its Shapley values are integrals over t in [0, 1] of the product of the factors
+    zero (1 - t) + one t without the feature's own: polynomials of a degree under the path's
+    length, so a Gauss rule of half as many points is exact. The product is carried down the
+    path at these points; what a feature adds at an edge is the sum of all products below,
+    divided by the feature's factor there, less the same with its factor further up. Work
+    is in proportion to the tree's nodes and the points.
     """
-    n = len(x)
-    phi = np.zeros((n, x.shape[1], tree["value"].shape[1]))
-    base = np.zeros(tree["value"].shape[1])
-    stack = [(0, {})]
-    while stack:
-        node, path = stack.pop()
+    n, classes = len(x), tree["value"].shape[1]
+    phi = np.zeros((n, x.shape[1], classes))
+    base = np.zeros(classes)
+    points, weights = np.polynomial.legendre.leggauss(max(1, (_depth(tree) + 1) // 2))
+    points, weights = (points + 1) / 2, weights / 2
+
+    def below(node: int, product: np.ndarray, share: float, path: dict) -> np.ndarray:
+        """Sum of the products of all leaves below times their values: rows x points x classes."""
         f = tree["feature"][node]
         if f < 0:
-            value, names = tree["value"][node], list(path)
-            m = len(names)
-            if not m:
-                base += value
-                continue
-            one = np.stack([path[k][0] for k in names])  # features on the path x rows
-            zero = np.array([path[k][1] for k in names])
-            base += value * np.prod(zero)
-            weight = np.array([1.0 / (m * math.comb(m - 1, s)) for s in range(m)])
-            for i, feature in enumerate(names):
-                # Weights of coalitions of the others by size: coefficients of prod(zero + one t).
-                poly = np.zeros((m, n))
-                poly[0] = 1
-                for j in range(m):
-                    if j != i:
-                        grown = poly * zero[j]
-                        grown[1:] += poly[:-1] * one[j]
-                        poly = grown
-                phi[:, feature, :] += ((one[i] - zero[i]) * (weight @ poly))[:, None] * value
-            continue
+            nonlocal base
+            base = base + share * tree["value"][node]
+            return product[:, :, None] * tree["value"][node]
         goes = x[:, f] <= tree["threshold"][node]
+        one, zero, factor = path.get(f, (np.ones(n), 1.0, None))
+        was = 0.0 if factor is None else (one - zero)[:, None] / factor
+        rest = product if factor is None else product / factor
+        total = np.zeros((n, len(points), classes))
         for child, hot in ((tree["left"][node], goes), (tree["right"][node], ~goes)):
-            one, zero = path.get(f, (np.ones(n), 1.0))
-            share = tree["cover"][child] / max(tree["cover"][node], 1e-300)
-            stack.append((child, path | {f: (one * hot, zero * share)}))
+            part = tree["cover"][child] / max(tree["cover"][node], 1e-300)
+            hot, cold = one * hot, zero * part
+            own = cold * (1 - points) + hot[:, None] * points
+            sums = below(child, rest * own, share * part, path | {f: (hot, cold, own)})
+            phi[:, f, :] += np.einsum("nk,nkc->nc", ((hot - cold)[:, None] / own - was) * weights, sums)
+            total += sums
+        return total
+
+    below(0, np.ones((n, len(points))), 1.0, {})
     return base, phi
 
 
+def _depth(tree: dict[str, np.ndarray], node: int = 0) -> int:
+    return 0 if tree["feature"][node] < 0 else 1 + max(_depth(tree, tree["left"][node]), _depth(tree, tree["right"][node]))
+
+
 def attributions(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
     """structure, feature, class, phi and base: contributions to each class's share, summing to the prediction.
 

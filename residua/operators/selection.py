@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -288,6 +289,8 @@ def mean_groups(stats: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
     Means more than a tolerance apart in sorted order can't share a leader, so runs of
     occupied buckets of twice the tolerance are independent and go to tasks one by one.
+    Leaders are over a tolerance apart from each other, so only a few in sorted order can
+    be near a mean, however many there are.
     """
     import pandas as pd
 
@@ -296,12 +299,14 @@ def mean_groups(stats: DataFrame, tolerance: float = 0.01) -> DataFrame:
     island = used.withColumn("island", F.col("bucket") - F.row_number().over(Window.orderBy("bucket")))  # at most a row per feature
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, float]] = []
-        out = []
+        means, leaders, out = [], [], []  # leaders by mean; features come in the order of their ids, so the first leader has the least
         for feature, mean in pdf.sort_values("feature")[["feature", "mean"]].itertuples(index=False):
-            leader = next((f for f, m in leaders if abs(mean - m) <= tolerance), None)
+            low, high = bisect.bisect_left(means, mean - 2 * tolerance), bisect.bisect_right(means, mean + 2 * tolerance)
+            leader = min((leaders[k] for k in range(low, high) if abs(mean - means[k]) <= tolerance), default=None)
             if leader is None:
-                leaders.append((feature, mean))
+                at = bisect.bisect_left(means, mean)
+                means.insert(at, mean)
+                leaders.insert(at, feature)
                 leader = feature
             out.append((feature, leader))
         return pd.DataFrame(out, columns=["feature", "component"])
@@ -358,21 +363,28 @@ def selection_chain(pairs: DataFrame, large: float = 50.0, correlation: float =
     Returns the long table and the funnel (step, features).
     """
     from residua.operators.features import imputed
+    from residua.operators.graph import written
 
     steps = []
-    count = lambda name, df: steps.append(df.agg(F.countDistinct("feature").alias("features")).select(F.lit(name).alias("step"), "features"))
+
+    def count(name: str, ids: DataFrame) -> None:
+        steps.append(ids.agg(F.countDistinct("feature").alias("features")).select(F.lit(name).alias("step"), "features"))
+
+    def left(name: str, x: DataFrame, ids: DataFrame) -> DataFrame:
+        """x cut to the ids, which are written (a row per feature), so no later step works them out again."""
+        ids = written(ids.select("feature"))
+        count(name, ids)
+        return keep_features(x, ids)
+
     labels = pairs.select("structure", "label").distinct()
     count("all", pairs)
-    x = without_neighbours(drop_missing(mask_large(pairs, large)))
+    x = written(without_neighbours(drop_missing(mask_large(pairs, large))))
     count("cleaned", x)
-    x = keep_features(x, correlation_groups(x.select("structure", "feature", "value"), correlation))
-    count("correlation", x)
-    x = keep_features(x, same_mean_groups(x.select("structure", "feature", "value"), tolerance))
-    count("equal means", x)
-    x = keep_features(x, low_variance(feature_statistics(x), variance))
-    count("variance", x)
-    x = keep_features(x, top_features(anova_f(x), top))
-    count("f score", x)
+    plain = lambda: x.select("structure", "feature", "value")
+    x = left("correlation", x, correlation_groups(plain(), correlation))
+    x = left("equal means", x, same_mean_groups(plain(), tolerance))
+    x = left("variance", x, low_variance(feature_statistics(x), variance))
+    x = left("f score", x, top_features(anova_f(x), top))
     out = imputed(x.select("structure", "feature", "value")).join(labels, "structure")
     funnel = steps[0]
     for s in steps[1:]:

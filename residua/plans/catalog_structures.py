@@ -152,7 +152,7 @@ def declared_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RESIDUES.replace("WITH n", "WITH RECURSIVE n") + """, q AS (SELECT structure, CASE CAST(substr(structure, 2) AS INT) % 10 WHEN 0 THEN NULL WHEN 1 THEN 'DFG' ELSE 'DFGAPE' END AS ends, 'DFG' || string_agg(letter, '' ORDER BY resseq) || 'APE' AS d,
-  'DFG' || string_agg(CASE WHEN resseq % 7 > 0 AND (resseq % 9 > 0 OR resseq > 20) AND (CAST(substr(structure, 2) AS INT) % 3 > 0 OR letter = 'X') OR CAST(substr(structure, 2) AS INT) % 5 = 2 THEN CASE letter WHEN 'X' THEN 'G' ELSE letter END ELSE '' END, '' ORDER BY resseq) || 'APE' AS o FROM r WHERE resseq <= 40 GROUP BY 1),
+  'DFG' || string_agg(CASE WHEN resseq % 7 > 0 AND (resseq % 9 > 0 OR resseq > 20) AND (CAST(substr(structure, 2) AS INT) % 3 > 0 OR letter = 'X') OR CAST(substr(structure, 2) AS INT) % 5 = 2 THEN CASE letter WHEN 'X' THEN 'G' ELSE letter END ELSE '' END, '' ORDER BY resseq) || 'APE' AS o FROM r GROUP BY 1),
 t AS (SELECT structure, ends, substr(d, 1, greatest(instr(d, 'DFG'), instr(d, 'APE')) + 2) AS d, substr(o, 1, greatest(instr(o, 'DFG'), instr(o, 'APE')) + 2) AS o FROM q),
 g AS (SELECT structure, 0 AS i, 0 AS matched, '' AS aligned, 0 AS run, 0 AS longest, d, o FROM t UNION ALL
   SELECT structure, i + 1, matched + h, aligned || CASE h WHEN 1 THEN substr(d, i + 1, 1) ELSE '-' END, CASE h WHEN 1 THEN 0 ELSE run + 1 END, greatest(longest, CASE h WHEN 1 THEN 0 ELSE run + 1 END), d, o
@@ -161,7 +161,7 @@ e AS (SELECT *, array_to_string(list_transform(range(1, length(d) + 1), lambda p
 SELECT structure, CASE WHEN ends IS NULL OR ends = 'DFG' OR longest > 2 THEN 'reject' WHEN filled = replace(aligned, '-', '') THEN 'copy' ELSE 'needs_rebuild' END AS decision,
 CASE WHEN ends IS NULL THEN 'no sequence' WHEN ends = 'DFG' THEN 'motif missing' WHEN longest > 2 THEN 'gap too long' END AS reason, CASE WHEN ends = 'DFGAPE' THEN longest END AS longest_gap, CASE WHEN ends = 'DFGAPE' THEN aligned END AS aligned FROM e JOIN t USING (structure)""")
 def reconstruction_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = residue_rows(spark, sf_dir).where("resseq <= 40").withColumns({"letter": tx.residue_letters(F.array("resname")), "key": F.substring("structure", 2, 6).cast("int")})
+    rows = residue_rows(spark, sf_dir).withColumns({"letter": tx.residue_letters(F.array("resname")), "key": F.substring("structure", 2, 6).cast("int")})
     seen = (F.col("resseq") % 7 > 0) & ((F.col("resseq") % 9 > 0) | (F.col("resseq") > 20)) & ((F.col("key") % 3 > 0) | (F.col("letter") == "X")) | (F.col("key") % 5 == 2)
     rows = rows.withColumn("seen", F.when(seen, F.when(F.col("letter") == "X", "G").otherwise(F.col("letter"))).otherwise(""))
     both = rows.groupBy("structure", "key").agg(F.array_sort(F.collect_list(F.struct("resseq", "letter", "seen"))).alias("r"))
@@ -304,17 +304,17 @@ def annotation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residue_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name for every reference position that is no multiple of three."""
-    own = load(spark, sf_dir, "part").where("p_partkey <= 64 and p_partkey % 3 <> 0")
-    return own.select(F.col("p_partkey").alias("pos"), F.get(F.array(*map(F.lit, CODES)), (F.col("p_partkey") % 20).cast("int")).alias("resname"))
+    """A name for every reference position that is the size of a part: that of its first part's code. Sizes end at 50, so later positions have none."""
+    own = load(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("pos")).agg(F.min("p_partkey").alias("k"))
+    return own.select("pos", F.get(F.array(*map(F.lit, CODES)), (F.col("k") % 20).cast("int")).alias("resname"))
 
 
-_NAMES = f"names AS (SELECT p_partkey AS pos, [{', '.join(f"'{c}'" for c in CODES)}][CAST(p_partkey % 20 AS INT) + 1] AS resname FROM part WHERE p_partkey <= 64 AND p_partkey % 3 <> 0)"
+_NAMES = f"names AS (SELECT CAST(p_size AS BIGINT) AS pos, [{', '.join(f"'{c}'" for c in CODES)}][CAST(min(p_partkey) % 20 AS INT) + 1] AS resname FROM part GROUP BY 1)"
 
 
-@query(f"WITH {_NAMES} SELECT l_linenumber + 20 AS pos, count(*) AS n, coalesce(resname, 'Res' || (l_linenumber + 20)) AS resname FROM lineitem LEFT JOIN names ON pos = l_linenumber + 20 GROUP BY ALL")
+@query(f"WITH {_NAMES} SELECT l_linenumber + 45 AS pos, count(*) AS n, coalesce(resname, 'Res' || (l_linenumber + 45)) AS resname FROM lineitem LEFT JOIN names ON pos = l_linenumber + 45 GROUP BY ALL")
 def named_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 20).cast("long").alias("pos"))
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 45).cast("long").alias("pos"))
     return labels.name_positions(rows, residue_names(spark, sf_dir)).groupBy("pos", "resname").agg(F.count("*").alias("n"))
 
 
@@ -355,6 +355,39 @@ def distance_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy(F.col("pos1").cast("long").alias("pos1"), F.col("pos2").cast("long").alias("pos2")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def conserved_columns(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """An alignment step of one's own: only columns in which half of all rows have a letter."""
+    zipped = alignment.zip_with_reference(rows, reference)
+    kept = alignment.conservation(zipped).where("conservation >= 0.5").select("ref_pos")
+    return zipped.join(F.broadcast(kept), "ref_pos")  # a row per reference position
+
+
+@query(ALIGNED + """, e AS (SELECT 'v' || vec_id AS name, u.i AS i, CAST(embedding[u.i] AS DOUBLE) * 100 AS x FROM embeddings, (SELECT CAST(unnest(range(1, 65)) AS INT) AS i) u),
+k AS (SELECT name, i, x, row_number() OVER (PARTITION BY name ORDER BY i) - 1 AS idx FROM e WHERE x > 0),
+w AS (SELECT ref_pos FROM z GROUP BY 1 HAVING avg(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) >= 0.5), y AS (SELECT * FROM z SEMI JOIN w USING (ref_pos)),
+m AS (SELECT name, ref_pos, ch, coalesce(sum(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY ref_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM y),
+p AS (SELECT m.name, ref_pos, k.x, k.i AS y FROM m JOIN k ON m.name = k.name AND m.idx = k.idx WHERE ch <> '-')
+SELECT a.ref_pos AS pos1, b.ref_pos AS pos2, count(*) AS n, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / 10, 4) AS total FROM p a JOIN p b ON a.name = b.name AND a.ref_pos < b.ref_pos GROUP BY ALL""")
+def own_alignment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sign_alignment(spark, sf_dir)
+    reference = alignment.reference_row(rows.where("name = 'v0'"), "v0")
+    long = features.distance_features(rows, reference, _embedding_residues(spark, sf_dir), zipped=conserved_columns, scale=0.1)
+    return long.groupBy(F.col("pos1").cast("long").alias("pos1"), F.col("pos2").cast("long").alias("pos2")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS structure, count(*) AS n FROM {t}" for t in _FILES))
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the name of the file that they are in."""
+    found = None
+    for t in _FILES:
+        one = load(spark, sf_dir, t).select(files.structure_name(F.col("_metadata.file_path")).alias("structure")).groupBy("structure").agg(F.count("*").alias("n"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("""WITH p AS (SELECT vec_id AS structure, CASE WHEN vec_id % 10 = 3 THEN 'valid' ELSE 'train' END AS part FROM embeddings)
 SELECT structure, part, row_number() OVER (PARTITION BY part ORDER BY structure) - 1 AS loop_index, row_number() OVER (ORDER BY structure) - 1 AS source_index FROM p""")
 def ordinal_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,10 +79,14 @@ def read_declared_sequences(spark: SparkSession, path: str, recursive: bool = Fa
 def read_alignment(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """source (the file's path), name, aligned and ord from FASTA-style text; white space inside sequences goes.
 
-    Records are cut at the header mark by the reader, so files are split like any text.
+    Records are cut at the header mark by the reader, so files are split like any text. ord
+    is a struct that compares in the order of a file: where the record's block begins in
+    the file, then its place among the records that one task reads, block by block. It
+    holds however files are split and blocks are packed into tasks.
     """
     raw = spark.read.option("lineSep", ">").option("recursiveFileLookup", recursive).text(path)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("ord"))
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    raw = raw.select("value", F.col("_metadata.file_path").alias("source"), order.alias("ord"))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return raw.where(F.length(F.trim("value")) > 0).select("source", F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("name"), body.alias("aligned"), "ord")
 

@@ -246,3 +246,24 @@ def test_zip_and_fallback_reference(spark):
     assert alignment.reference_row(rows, "ref").first().name == "ref1" and alignment.reference_row(rows, "none").first().name == "x"
     z = alignment.zip_with_reference(rows, alignment.reference_row(rows, "ref"))
     assert {(q.name, q.ref_pos, q.ch) for q in z.collect()} == {("x", 0, "A"), ("x", 1, "-"), ("x", 2, "D"), ("ref1", 0, "A"), ("ref1", 1, "B"), ("ref1", 2, "D")}
+
+
+def test_records_keep_their_order_in_split_files(spark, tmp_path):
+    """Files far larger than a block, read in many small tasks of several blocks each."""
+    for name, n in (("one", 300), ("two", 70)):
+        (tmp_path / f"{name}.fa").write_text("".join(f">{name}{i}\n{'AC-DEFGHIK' * (1 + i % 9)}\n" for i in range(n)))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("333", "1"), ("900", "100"), ("5000", "0")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            rows = files.read_alignment(spark, str(tmp_path))
+            assert size != "333" or rows.rdd.getNumPartitions() > 50
+            got = {}
+            for r in sorted(rows.collect(), key=lambda r: (r.source, r.ord)):
+                got.setdefault(r.source.rpartition("/")[2], []).append(r.name)
+            assert got == {f"{name}.fa": [f"{name}{i}" for i in range(n)] for name, n in (("one", 300), ("two", 70))}
+            assert alignment.reference_row(rows.where(F.endswith("source", F.lit("two.fa"))), "none").first().name == "two0"
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
