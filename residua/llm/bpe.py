@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -95,6 +96,8 @@ class Vocabulary:
             if a in self.ids and b in self.ids and whole in self.ids:
                 self.rank.setdefault((self.ids[a], self.ids[b]), (k, self.ids[whole]))
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        #: What every special string begins with: a text without it holds none.
+        self.mark = os.path.commonprefix(list(self.special))
 
     def _own(self, t: str) -> str:
         return t[: -len(self.end)] + _END if self.end and t.endswith(self.end) else t
@@ -146,48 +149,74 @@ class Vocabulary:
 
 
 class SuffixAutomaton:
-    """Which of many strings are suffixes of what has been read.
-
-    A state is the longest suffix of what has been read that begins one of the strings; its
-    link is the next shorter such suffix. A state's strings are its own and those of its
-    link, longest first.
+    """All substrings of many strings, and which of the strings are suffixes of what has been read.
+
+    A state stands for the substrings that end at the same places of the strings; `length`
+    is its longest one's, and its link leads to the longest suffix that ends at more places.
+    Reading keeps the longest suffix of what has been read that is a substring of a string:
+    a state and how many symbols of it are read. A string is the longest substring of its
+    state, as nothing stands before its own beginning, so the strings that are suffixes are
+    those of the states along the links, and the state's own one if all of it is read.
     """
 
     def __init__(self, entries: Iterable[tuple[list[int], int]]):
         """entries: symbols (0 to 511) and the number that stands for them."""
-        step: dict[int, int] = {}
-        own: list[tuple[tuple[int, int], ...]] = [()]
-        parent, by = [0], [0]
+        out: list[dict[int, int]] = [{}]
+        length, link, own = [0], [-1], [-1]
+
+        def copied(p: int, c: int, q: int) -> int:
+            """q's part of the strings that end with p and then c, as a state of its own."""
+            new = len(out)
+            out.append(dict(out[q]))
+            length.append(length[p] + 1)
+            link.append(link[q])
+            own.append(-1)
+            while p >= 0 and out[p].get(c) == q:
+                out[p][c] = new
+                p = link[p]
+            link[q] = new
+            return new
+
         for symbols, name in entries:
-            at = 0
+            last = 0
             for c in symbols:
-                to = step.get(at << 9 | c)
-                if to is None:
-                    to = step[at << 9 | c] = len(own)
-                    own.append(())
-                    parent.append(at)
-                    by.append(c)
-                at = to
-            own[at] = ((name, len(symbols)),)
-        depth = [0] * len(own)
-        for k in range(1, len(own)):
-            depth[k] = depth[parent[k]] + 1
-        link = [0] * len(own)
-        for k in sorted(range(1, len(own)), key=depth.__getitem__):
-            at = parent[k]
-            while at:
-                at = link[at]
-                if (to := step.get(at << 9 | by[k])) is not None:
-                    link[k] = to
-                    break
-            own[k] = own[k] + own[link[k]] if own[k] else own[link[k]]
-        self.step, self.link, self.found = step, link, own
-
-    def after(self, state: int, symbol: int) -> int:
-        get, link = self.step.get, self.link
+                q = out[last].get(c)
+                if q is not None:  # known from an earlier string
+                    last = q if length[q] == length[last] + 1 else copied(last, c, q)
+                    continue
+                new = len(out)
+                out.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                own.append(-1)
+                p = last
+                while p >= 0 and c not in out[p]:
+                    out[p][c] = new
+                    p = link[p]
+                if p >= 0:
+                    q = out[p][c]
+                    link[new] = q if length[q] == length[p] + 1 else copied(p, c, q)
+                last = new
+            own[last] = name
+        link[0] = 0
+        found: list[tuple[tuple[int, int], ...]] = [()] * len(out)
+        for k in sorted(range(1, len(out)), key=length.__getitem__):
+            found[k] = ((own[k], length[k]), *found[link[k]]) if own[k] >= 0 else found[link[k]]
+        #: Steps by state and symbol; lengths, links and the strings at and above each state, longest first.
+        self.step = {k << 9 | c: to for k, steps_ in enumerate(out) for c, to in steps_.items()}
+        self.length, self.link, self.found = length, link, found
+
+    def after(self, state: int, read: int, symbol: int) -> tuple[int, int]:
+        """The state and how much of it is read, one symbol later."""
+        get = self.step.get
         while (to := get(state << 9 | symbol)) is None and state:
-            state = link[state]
-        return to or 0
+            state = self.link[state]
+            read = self.length[state]
+        return (0, 0) if to is None else (to, read + 1)
+
+    def suffixes(self, state: int, read: int) -> tuple[tuple[int, int], ...]:
+        """Strings (number, length) that are suffixes of what has been read, longest first."""
+        return self.found[state if read == self.length[state] else self.link[state]]
 
 
 class PrefixEncoder:
@@ -245,18 +274,19 @@ class PrefixEncoder:
         data = word.encode("utf-8", "surrogatepass")
         n = len(data)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        automaton, pairs, state = self.automaton, self.pairs, 0
-        get, link, found = automaton.step.get, automaton.link, automaton.found
+        automaton, pairs, state, read = self.automaton, self.pairs, 0, 0
+        get, link, length, found = automaton.step.get, automaton.link, automaton.length, automaton.found
         marked = bool(self.v.end)
         for at, symbol in enumerate(data, 1):
             while (to := get(state << 9 | symbol)) is None and state:
                 state = link[state]
-            state = to or 0
+                read = length[state]
+            state, read = (0, 0) if to is None else (to, read + 1)
             if marked and at == n:
                 # The end-of-word mark is part of the last symbol: it ends the same prefix, and adds nothing to it.
-                entries, mark = found[automaton.after(state, _END_SYMBOL)], 1
+                entries, mark = automaton.suffixes(*automaton.after(state, read, _END_SYMBOL)), 1
             else:
-                entries, mark = found[state], 0
+                entries, mark = found[state if read == length[state] else link[state]], 0
             for token, size in entries:
                 begin = at + mark - size
                 if begin == 0 or last[begin] >= 0 and pairs[last[begin] << 20 | token]:
@@ -305,7 +335,7 @@ class WordCodec:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoding (entries joined by spaces)."""
-        parts = self.v.splitter.split(text) if self.v.splitter and "<|" in text else [text]
+        parts = self.v.splitter.split(text) if self.v.splitter and self.v.mark in text else [text]
         ids, shown, known = [], [], self.known
         for k, part in enumerate(parts):
             if k % 2:
@@ -373,7 +403,7 @@ class TokenCounter:
         self.known = Memo(lambda word: 1 if word in self.whole else len(v.merged(v.symbols(word))))
 
     def count(self, text: str) -> int:
-        parts = self.v.splitter.split(text) if self.v.splitter and "<|" in text else [text]
+        parts = self.v.splitter.split(text) if self.v.splitter and self.v.mark in text else [text]
         return len(parts) // 2 + sum(sum(map(self.known.__getitem__, pretokens(self.find, p))) for p in parts[::2])
 
 

@@ -78,6 +78,19 @@ def bpe_texts():
     return [t for t in ODD if t] + ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(1500)] + ["abcdefghij" * 800]
 
 
+def test_suffix_automaton():
+    """After every symbol: the strings that are suffixes, longest first, and the longest suffix that is a substring of one."""
+    r = random.Random(1)
+    for _ in range(200):
+        strings = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 12))}, key=lambda s: r.random())
+        automaton = bpe.SuffixAutomaton(([ord(c) for c in s], i) for i, s in enumerate(strings))
+        text, state = "".join(r.choice("abcd") for _ in range(30)), (0, 0)
+        for k, c in enumerate(text, 1):
+            state = automaton.after(*state, ord(c))
+            assert list(automaton.suffixes(*state)) == sorted(((i, len(s)) for i, s in enumerate(strings) if text[:k].endswith(s)), key=lambda x: -x[1])
+            assert state[1] == max(n for n in range(k + 1) if n == 0 or any(text[k - n : k] in s for s in strings))
+
+
 def test_word_codec_matches_the_library():
     from tokenizers import Tokenizer
 
