@@ -6,8 +6,9 @@ any occurrence of a window is hit.
 
 A window's words are ordered by how often the corpus holds them, rarest first (counted
 over all documents, map-side first). Its rarest word is the necessary prefix: a document
-without it can't hold the window, so only occurrences of prefix words are looked at. The
-word's place in the window gives the positional bound (so many words must stand before
+without it can't hold the window, so only occurrences of prefix words are looked at, and of
+these only such as have the window's next word (or the one before) beside them, so that a
+word that is the rarest of very many windows doesn't meet all of them each time. The word's place in the window gives the positional bound (so many words must stand before
 it) and the window's length the length bound (so many must follow). What passes is
 verified, first by a hash over the item-sized run of words and then byte by byte.
 
@@ -38,6 +39,8 @@ WINDOW = 13
 #: Words of item windows that one broadcast may hold (about 100 bytes each).
 MAX_INDEX_WORDS = 4_000_000
 HIT_SHARE = 20
+#: Windows that are tried at once in a step's texts, about.
+STEP_PAIRS = 1 << 20
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray, hasher: WordHash):
@@ -126,8 +129,17 @@ class Probe:
         return at[same], place[same]
 
 
+def _pair_key(word: np.ndarray, other: np.ndarray | int, side: int) -> np.ndarray:
+    """Key of a prefix word with the word after (0) or before it (1), or alone (2)."""
+    return mix(word * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(other, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(side))
+
+
 class WindowIndex:
-    """Item windows by the hash of their prefix word: the broadcast side of the join."""
+    """Item windows by their prefix: the rarest word with the word after it in the window (before it, if it is the last).
+
+    This is the broadcast side of the join. With two words, a prefix word that stands in
+    very many windows meets only those that go on alike.
+    """
 
     def __init__(self, rows: list):
         """rows: window, size, place, hash."""
@@ -136,9 +148,28 @@ class WindowIndex:
         self.place = np.array([r.place for r in rows], np.int64)
         rare = np.array([r.hash for r in rows], np.int64).view(np.uint64)
         hasher = WordHash()
-        self.hash = np.array([run_hash(hasher.spans(*_joined(t.split(b" "))), int(n))[0] for t, n in zip(self.text, self.size)], np.uint64)
-        self.order = np.argsort(rare, kind="stable")
-        self.prefixes, self.first, self.count = np.unique(rare[self.order], return_index=True, return_counts=True)
+        self.hash, keys = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        for k, (t, n, place) in enumerate(zip(self.text, self.size.tolist(), self.place.tolist())):
+            words = hasher.spans(*_joined(t.split(b" ")))
+            self.hash[k] = run_hash(words, n)[0]
+            side = 2 if n == 1 else 0 if place + 1 < n else 1
+            other = 0 if n == 1 else words[place + 1 if side == 0 else place - 1]
+            keys[k] = _pair_key(words[place : place + 1], other, side)[0]
+        self.prefixes = np.unique(rare)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = np.unique(keys[self.order], return_index=True, return_counts=True)
+
+    def met(self, h: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that stand in the documents, and the words where they do. at: words that are prefix words; first: first word of each document."""
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc = np.searchsorted(first, at, "right") - 1
+        after, before = at[at + 1 < first[doc + 1]], at[at > first[doc]]
+        word = np.concatenate([after, before, at])
+        key = np.concatenate([_pair_key(h[after], h[after + 1], 0), _pair_key(h[before], h[before - 1], 1), _pair_key(h[at], 0, 2)])
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[place] == key
+        return place[same], word[same]
 
 
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,26 +187,29 @@ def find_windows(docs: DataFrame, index: WindowIndex) -> DataFrame:
         probe, sizes = Probe(ix.prefixes), np.unique(ix.size)
         for batch, data, offsets in steps(batches):
             low, starts, ends, first, h = _hashed(data, offsets, hasher)
-            at, place = probe.hits(h)
-            # Every window of that prefix word, with its begin in the document if there is room for it.
-            times = ix.count[place]
-            window = ix.order[_spread(ix.first[place], times)]
-            word = np.repeat(at, times)
-            doc = np.searchsorted(first, word, "right") - 1
-            begin = word - ix.place[window]
-            fits = (begin >= first[doc]) & (begin + ix.size[window] <= first[doc + 1])
-            window, doc, begin = window[fits], doc[fits], begin[fits]
-            found = np.zeros(len(window), bool)
-            for n in sizes:
-                own = ix.size[window] == n
-                if own.any():
-                    found[own] = _run_hash_at(h, begin[own], int(n)) == ix.hash[window[own]]
-            raw = low.tobytes() if found.any() else b""
+            place, at = ix.met(h, probe.hits(h)[0], first)
             hits: list[list] = [[] for _ in range(batch.num_rows)]
-            for w, d, b in zip(window[found].tolist(), doc[found].tolist(), begin[found].tolist()):
-                n = int(ix.size[w])
-                if b" ".join(raw[starts[i] : ends[i]] for i in range(b, b + n)) == ix.text[w]:
-                    hits[d].append({"begin": b - int(first[d]), "size": n, "window": ix.text[w].decode("utf-8", "surrogatepass")})
+            raw = low.tobytes() if len(at) else b""
+            # Every window of a key, with its begin in the document if there is room for it; a bounded number at once.
+            upto = np.cumsum(ix.count[place])
+            cuts = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]) + STEP_PAIRS, STEP_PAIRS), "right")) if len(at) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                times = ix.count[place[a:b]]
+                window = ix.order[_spread(ix.first[place[a:b]], times)]
+                word = np.repeat(at[a:b], times)
+                doc = np.searchsorted(first, word, "right") - 1
+                begin = word - ix.place[window]
+                fits = (begin >= first[doc]) & (begin + ix.size[window] <= first[doc + 1])
+                window, doc, begin = window[fits], doc[fits], begin[fits]
+                found = np.zeros(len(window), bool)
+                for n in sizes:
+                    own = ix.size[window] == n
+                    if own.any():
+                        found[own] = _run_hash_at(h, begin[own], int(n)) == ix.hash[window[own]]
+                for w, d, at_word in zip(window[found].tolist(), doc[found].tolist(), begin[found].tolist()):
+                    n = int(ix.size[w])
+                    if b" ".join(raw[starts[i] : ends[i]] for i in range(at_word, at_word + n)) == ix.text[w]:
+                        hits[d].append({"begin": at_word - int(first[d]), "size": n, "window": ix.text[w].decode("utf-8", "surrogatepass")})
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("size", pa.int64()), ("window", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(np.diff(first)), pa.array(hits, kind)], ["doc_id", "doc_key", "n_words", "hits"])
 

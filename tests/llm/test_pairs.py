@@ -208,6 +208,16 @@ def test_decontamination(spark, slices):
     assert got(decontaminate.contamination(frame(spark, docs), bench, max_index_words=slices).drop("doc_key")) == brute.contamination(docs, items)
 
 
+def test_decontamination_of_common_prefix_words(spark, monkeypatch):
+    """Very many windows with one rarest word, at every place of a window; few are tried at once."""
+    monkeypatch.setattr(decontaminate, "STEP_PAIRS", 5)
+    r = random.Random(8)
+    items = [(k, " ".join([*(r.choice("ab") for _ in range(p)), "rare", *(r.choice("ab") for _ in range(12 - p))])) for k, p in enumerate([*range(13)] * 6)] + [(900, "rare"), (901, "rare a"), (902, "b rare")]
+    docs = [(d, " ".join(r.choice(["a", "b", "rare"] if d % 2 else ["a", "b"]) for _ in range(60)) + " " + r.choice(items)[1]) for d in range(60)]
+    items_table = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontaminate.contamination_digest(frame(spark, docs), items_table)) == brute.contamination(docs, items)
+
+
 def test_empty_tables_and_repeated_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
