@@ -15,7 +15,7 @@ depth above. No node is listed before it is reached and no prefix is expanded tw
   hashed as a stream of runs, so equal conversations, however many, are never one list.
 
 Defined results: rows without conv_id take no part; null role or text is empty; turns
-that tie are ordered by the hash of their role and text; every row is a turn, repeated or
+that tie are ordered by role, then text, by code point; every row is a turn, repeated or
 not. An empty table has no nodes. Other columns are ignored.
 """
 
@@ -53,12 +53,23 @@ def band_start(band: int) -> int:
 
 
 def hashed_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, pos (from 1, in order), turn (a hash of role and text) and words of its text."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = F.unhex(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256))
-    rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("at"), turn.alias("turn"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("words"))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("at"), "turn")
-    return stage_table(rows, "turns").withColumn("pos", F.row_number().over(order)).drop("at")
+    """conv_id, pos (from 1, in order), turn (a hash of role and text) and words of its text.
+
+    Texts do not travel, but for turns that tie: these are ranked by role and text.
+    """
+    plain = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    named = plain.withColumn("turn", F.unhex(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), 256)))
+    rows = stage_table(named.select("conv_id", "at", "turn", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("words")), "turns")
+    tied = rows.groupBy("conv_id", "at").agg(F.min("turn").alias("low"), F.max("turn").alias("high")).where("low <> high")
+    tied = stage_table(tied.select(F.col("conv_id").alias("c"), F.col("at").alias("a")), "tied")
+    if tied.isEmpty():
+        rows = rows.withColumn("rank", F.lit(0))
+    else:
+        among = named.join(tied, (F.col("conv_id") == F.col("c")) & F.col("at").eqNullSafe(F.col("a"))).select("c", "a", "role", "text", F.col("turn").alias("t")).distinct()
+        ranked = among.select("c", "a", "t", F.row_number().over(Window.partitionBy("c", "a").orderBy("role", "text")).alias("rank"))
+        rows = rows.join(ranked, (F.col("conv_id") == F.col("c")) & F.col("at").eqNullSafe(F.col("a")) & (F.col("turn") == F.col("t")), "left").drop("c", "a", "t")
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("at"), "rank")
+    return rows.withColumn("pos", F.row_number().over(order)).drop("at", "rank")
 
 
 def rebuilt(turns: DataFrame, family: int = 20, most: int = 4) -> DataFrame:

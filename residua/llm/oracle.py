@@ -88,7 +88,7 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE
 SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER o <= 10"""
 
-OP13 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS pos, struct_pack(r := r, x := x, w := len(regexp_extract_all(x, {_SPACE}))) AS one
+OP13 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS pos, struct_pack(r := r, x := x, w := len(regexp_extract_all(x, {_SPACE}))) AS one
   FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [256 + ascii(ch), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
   lambda a, b: CASE WHEN b >= 256 THEN xor(a, b - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),

@@ -118,8 +118,8 @@ def trie(rows):
     for c, turn, role, text in rows:
         if c is not None:
             r, x = role or "", text or ""
-            convs[c].append((turn is not None, turn or 0, brute.sha(f"{len(r)}:{r}{x}"), r, x))
-    convs = {c: [t[3:] for t in sorted(ts)] for c, ts in convs.items()}
+            convs[c].append((turn is not None, turn or 0, r, x))
+    convs = {c: [t[2:] for t in sorted(ts)] for c, ts in convs.items()}
     members, ends = defaultdict(list), defaultdict(list)
     for c in convs:
         h = zlib.crc32(str(c).encode()) % 4
@@ -148,7 +148,7 @@ def talks(seed, n=160):
         rows += [(c, t if r.random() > 0.02 else None, r.choice(["user", "bot", None]) if t % 7 == 0 else "user", f"w{r.randrange(2)} x" if t < 4 else f"t{t // 3} y z") for t in range(length)]
     rows += [(1000 + i, t, "user", f"all the same {t}") for i in range(120) for t in range(45)]  # a conversation that very many have, into the third band
     rows += [(2000 + i, t, "user", f"all the same {t}" if t < 43 else f"{i} at the end") for i in range(60) for t in range(45)]
-    rows += [(3000, 0, None, None), (3001, None, None, ""), (3020, 0, "", "a"), (3020, 0, "", "a"), (3020, 0, "x", "b"), (None, 1, "user", "no id"), (3100, 1, "u", "long " * 60_000)]
+    rows += [(3000, 0, None, None), (3001, None, None, ""), (3020, 0, "", "a"), (3020, 0, "", "a"), (3020, 0, "x", "b"), (3020, None, "x", "é"), (3020, None, "x", "z"), (3020, None, "a", "zz"), (None, 1, "user", "no id"), (3100, 1, "u", "long " * 60_000)]
     r.shuffle(rows)
     return rows
 
