@@ -7,33 +7,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.operators.density import density, density_sweep  # noqa: F401
+from residua.operators.density import density, density_sweep, nearest_core  # noqa: F401
 from residua.operators.spectral import spectral  # noqa: F401
 from residua.operators.ward import hierarchical  # noqa: F401
 
 
-def near_pairs(rows: DataFrame, radius: float) -> DataFrame:
-    """(a, b, d2) of points a < b within the radius: a grid of cells of that size, each joined with its neighbours."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    at = rows.select("id", "z1", "z2", cell("z1").alias("gx"), cell("z2").alias("gy"))
-    around = F.explode(F.flatten(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.transform(F.array(*[F.lit(j) for j in (-1, 0, 1)]), lambda j: F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy"))))))
-    other = at.select(F.col("id").alias("b"), F.col("z1").alias("x"), F.col("z2").alias("y"), around.alias("g")).select("b", "x", "y", "g.gx", "g.gy")
-    d2 = (F.col("z1") - F.col("x")) * (F.col("z1") - F.col("x")) + (F.col("z2") - F.col("y")) * (F.col("z2") - F.col("y"))
-    return at.join(other, ["gx", "gy"]).where("id < b").select(F.col("id").alias("a"), "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
-
-
 def silhouette(rows: DataFrame, labels: DataFrame) -> float | None:
     """Mean silhouette (squared distances), noise counted as a cluster; null for fewer than two clusters."""
     both = rows.join(labels, "id").withColumn("_v", array_to_vector(F.array("z1", "z2")))
     if both.select("cluster").distinct().count() < 2:
         return None
     return ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(both)
-
-
-def nearest_core(rows: DataFrame, fitted: DataFrame, radius: float) -> DataFrame:
-    """id, cluster of new points: that of the nearest clustered point within the radius, else -1. fitted: id, z1, z2, cluster."""
-    core = fitted.where("cluster >= 0").select((-F.col("id") - 1).alias("id"), "z1", "z2")
-    pairs = near_pairs(rows.select("id", "z1", "z2").unionByName(core), radius).where("a < 0 and b >= 0")
-    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("d2", "a")).alias("a"))
-    told = best.join(fitted.select((-F.col("id") - 1).alias("a"), "cluster"), "a").select(F.col("b").alias("id"), "cluster")
-    return rows.select("id").join(told, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -58,9 +58,9 @@ def _high(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.greatest(F.abs(b2 - a1), F.abs(a2 - b1))
 
 
-def _around(forward: bool) -> Column:
-    """Offsets of cells that may hold points within the radius: all 24, or one of each two opposite ones."""
-    cells = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if ((i, j) > (0, 0) if forward else (i, j) != (0, 0))]
+def _around(forward: bool, own: bool = False) -> Column:
+    """Offsets of cells that may hold points within the radius: all 24, or one of each two opposite ones; and the own cell."""
+    cells = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if ((i, j) > (0, 0) if forward else (i, j) != (0, 0)) or own and (i, j) == (0, 0)]
     return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells]))
 
 
@@ -68,14 +68,18 @@ def _boxes(spots: DataFrame, *more: Column) -> DataFrame:
     return spots.groupBy("cx", "cy", "leaf").agg(F.min("z1").alias("l1"), F.max("z1").alias("h1"), F.min("z2").alias("l2"), F.max("z2").alias("h2"), F.sum("weight").alias("points"), *more)
 
 
-def _counted(spots: DataFrame, asked: DataFrame, radius: float) -> DataFrame:
-    """asked (cx, cy, leaf, of, x, y) with the weights of the leaf's spots within the radius, as of, points."""
-    square = radius * radius
+def _answers(spots: DataFrame, asked: DataFrame, tell: Column, answer, schema: str) -> DataFrame:
+    """What `answer` says of the points asked (cx, cy, leaf, of, x, y), leaf by leaf.
+
+    A task holds the spots of one leaf (x, y and the number `tell`, in that number's order)
+    and streams the points that are asked of it. answer takes squared distances (points by
+    spots), the spots' numbers and the points' `of`, and gives columns.
+    """
     held = spots.join(asked.select("cx", "cy", "leaf").distinct(), ["cx", "cy", "leaf"], "left_semi")
-    left = held.select("cx", "cy", "leaf", F.lit(0).alias("side"), F.col("z1").alias("x"), F.col("z2").alias("y"), F.col("weight").alias("w"))
+    left = held.select("cx", "cy", "leaf", F.lit(0).alias("side"), F.col("z1").alias("x"), F.col("z2").alias("y"), tell.cast("long").alias("w"))
     right = asked.select("cx", "cy", "leaf", F.lit(1).alias("side"), "x", "y", F.col("of").alias("w"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy", "leaf", "side", "x", "y", "w")]
@@ -83,7 +87,7 @@ def _counted(spots: DataFrame, asked: DataFrame, radius: float) -> DataFrame:
             for c in cols[:4]:
                 change[1:] |= c[1:] != c[:-1]
             cuts = np.r_[0, np.flatnonzero(change), batch.num_rows] if batch.num_rows else np.zeros(1, int)
-            of, n = [], []
+            out = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 now = tuple(int(c[a]) for c in cols[:3])
                 if now != key:
@@ -98,37 +102,53 @@ def _counted(spots: DataFrame, asked: DataFrame, radius: float) -> DataFrame:
                 step = max(1, STEP // len(x))
                 for at in range(0, b - a, step):
                     d1, d2 = part[0][at : at + step, None] - x, part[1][at : at + step, None] - y
-                    of.append(part[2][at : at + step])
-                    n.append((d1 * d1 + d2 * d2 <= square) @ w)
-            if of:
-                yield pa.RecordBatch.from_pydict({"of": np.concatenate(of), "points": np.concatenate(n).astype(np.int64)})
+                    out.append(answer(d1 * d1 + d2 * d2, w, part[2][at : at + step]))
+            if out:
+                yield pa.RecordBatch.from_pydict({k: np.concatenate([o[k] for o in out]) for k in out[0]})
 
-    both = left.unionByName(right).repartition("cx", "cy", "leaf").sortWithinPartitions("cx", "cy", "leaf", "side")
-    return both.mapInArrow(count, "of long, points long")
+    both = left.unionByName(right).repartition("cx", "cy", "leaf").sortWithinPartitions("cx", "cy", "leaf", "side", "w")
+    return both.mapInArrow(run, schema)
 
 
-def grid(rows: DataFrame, radius: float, most: int, leaf: int = LEAF) -> Grid:
-    """The grid of rows (id, z1, z2), good for every min_samples up to `most`."""
+def _cells(rows: DataFrame, radius: float) -> DataFrame:
+    """Rows that have a place, with the cell it is in."""
     side = radius / 2**0.5 * (1 - 1e-9)
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     good = ~(F.col("z1").isNull() | F.col("z2").isNull() | F.isnan("z1") | F.isnan("z2"))
-    places = rows.where(good).select("id", F.col("z1").cast("double").alias("z1"), F.col("z2").cast("double").alias("z2")).withColumns({"cx": cell("z1"), "cy": cell("z2")})
-    spots = written(places.groupBy("cx", "cy", "z1", "z2").agg(F.count("*").alias("weight"), F.min("id").alias("first")))
+    plain = rows.where(good).withColumns({"z1": F.col("z1").cast("double"), "z2": F.col("z2").cast("double")})
+    return plain.withColumns({"cx": cell("z1"), "cy": cell("z2")})
+
+
+def _leaved(spots: DataFrame, leaf: int) -> DataFrame:
+    """spots (cx, cy, z1, z2, weight, ...), a written table, with the points of their cell (n) and their leaf in it."""
     cells = written(spots.groupBy("cx", "cy").agg(F.sum("weight").alias("n"), F.count("*").alias("spots")))
     large = cells.where(F.col("spots") > leaf).select("cx", "cy")
     plain = spots.join(cells.where(F.col("spots") <= leaf).select("cx", "cy", "n"), ["cx", "cy"]).withColumn("leaf", F.lit(0).cast("long"))
     if not large.isEmpty():
         cut = kd_leaves(spots.join(large, ["cx", "cy"], "left_semi"), leaf, "cx", "cy").withColumn("leaf", F.shiftleft("strip", 32) + F.col("leaf")).drop("strip")
         plain = plain.unionByName(cut.join(cells.select("cx", "cy", "n"), ["cx", "cy"]).select(plain.columns))
-    known = written(plain.withColumn("of", F.xxhash64("z1", "z2", "cx", "cy")))
-    asking = known.where(F.col("n") < most).select("of", "z1", "z2", F.col("cx").alias("ox"), F.col("cy").alias("oy"), _around(False).alias("o"))
+    return plain
+
+
+def _reach(points: DataFrame, leaves: DataFrame, own: bool) -> DataFrame:
+    """of, x, y, cx, cy, leaf, points, low and high (squares of the nearest and farthest that the leaf's box can be): points (of, z1, z2, cx, cy) with the leaves of the cells around."""
+    asking = points.select("of", "z1", "z2", F.col("cx").alias("ox"), F.col("cy").alias("oy"), _around(False, own).alias("o"))
     asking = asking.select("of", F.col("z1").alias("x"), F.col("z2").alias("y"), (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
-    met = asking.join(_boxes(known), ["cx", "cy"])
-    low = F.pow(_low(F.col("l1"), F.col("h1"), F.col("x"), F.col("x")), F.lit(2)) + F.pow(_low(F.col("l2"), F.col("h2"), F.col("y"), F.col("y")), F.lit(2))
-    high = F.pow(_high(F.col("l1"), F.col("h1"), F.col("x"), F.col("x")), F.lit(2)) + F.pow(_high(F.col("l2"), F.col("h2"), F.col("y"), F.col("y")), F.lit(2))
+    square = lambda f: F.pow(f(F.col("l1"), F.col("h1"), F.col("x"), F.col("x")), F.lit(2)) + F.pow(f(F.col("l2"), F.col("h2"), F.col("y"), F.col("y")), F.lit(2))
+    return asking.join(leaves, ["cx", "cy"]).select("of", "x", "y", "cx", "cy", "leaf", "points", square(_low).alias("low"), square(_high).alias("high"))
+
+
+def grid(rows: DataFrame, radius: float, most: int, leaf: int = LEAF) -> Grid:
+    """The grid of rows (id, z1, z2), good for every min_samples up to `most`."""
+    places = _cells(rows.select("id", "z1", "z2"), radius)
+    spots = written(places.groupBy("cx", "cy", "z1", "z2").agg(F.count("*").alias("weight"), F.min("id").alias("first")))
+    known = written(_leaved(spots, leaf).withColumn("of", F.xxhash64("z1", "z2", "cx", "cy")))
     square, slack = radius * radius, 1e-9
-    met = written(met.where(low <= square * (1 + slack)).select("of", "x", "y", "cx", "cy", "leaf", "points", (high <= square * (1 - slack)).alias("whole")))
-    counts = met.where("whole").select("of", "points").unionByName(_counted(known, met.where("not whole"), radius)).groupBy("of").agg(F.sum("points").alias("others"))
+    met = _reach(known.where(F.col("n") < most), _boxes(known), False).where(F.col("low") <= square * (1 + slack))
+    met = written(met.withColumn("whole", F.col("high") <= square * (1 - slack)).drop("low", "high"))
+    within = lambda d, w, of: {"of": of, "points": ((d <= square) @ w).astype(np.int64)}
+    counted = _answers(known, met.where("not whole"), F.col("weight"), within, "of long, points long")
+    counts = met.where("whole").select("of", "points").unionByName(counted).groupBy("of").agg(F.sum("points").alias("others"))
     near = known.join(counts, "of", "left").withColumn("near", F.col("n") + F.coalesce("others", F.lit(0))).drop("others", "of")
     return Grid(places, written(near), radius, most)
 
@@ -213,3 +233,27 @@ def density_sweep(rows: DataFrame, radius: float, min_samples: list[int], min_si
             r = labels.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.count_if(F.col("cluster") < 0).alias("noise")).first()
             out.append((s, m, r.k, r.noise, silhouette(rows, labels)))
     return rows.sparkSession.createDataFrame(out, "min_samples int, min_size int, clusters long, noise long, silhouette double")
+
+
+def nearest_core(rows: DataFrame, fitted: DataFrame, radius: float, leaf: int = LEAF) -> DataFrame:
+    """id, cluster of new points: that of the nearest clustered point within the radius (ties: the least id), else -1.
+
+    fitted: id (a number), z1, z2, cluster. New points are asked of the leaves around them,
+    as in counting neighbours.
+    """
+    core = _cells(fitted.where("cluster >= 0"), radius).groupBy("cx", "cy", "z1", "z2").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
+    known = written(_leaved(written(core), leaf))
+    new = _cells(rows.select("id", "z1", "z2"), radius).withColumn("of", F.xxhash64("z1", "z2"))
+    places = new.groupBy("of", "z1", "z2", "cx", "cy").agg(F.count("*").alias("rows"))
+    square = radius * radius
+    met = written(_reach(places, _boxes(known), True).where(F.col("low") <= square * (1 + 1e-9)))
+
+    def near(d: np.ndarray, w: np.ndarray, of: np.ndarray) -> dict[str, np.ndarray]:
+        best = d.argmin(axis=1)  # spots are in the order of their ids
+        least = d[np.arange(len(of)), best]
+        ok = least <= square
+        return {"of": of[ok], "d": least[ok], "first": w[best[ok]]}
+
+    best = _answers(known, met, F.col("first"), near, "of long, d double, first long").groupBy("of").agg(F.min(F.struct("d", "first")).alias("r")).select("of", "r.first")
+    told = new.join(best, "of").join(fitted.select(F.col("id").alias("first"), "cluster"), "first").select("id", "cluster")
+    return rows.select("id").join(told, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -41,43 +41,69 @@ def least_by_hash(rows: DataFrame, n: Column | int, *keys: str, seed: int = 42,
     return near.where("_whole").select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles, interpolated between neighbours, by the values' ranges.
+def quantiles(rows: DataFrame, value: str, shares: list[float], most: int = 20_000, accuracy: int = 2048) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, by brackets that a mergeable sketch draws.
 
-    Distinct values are counted by exchange and numbered by range, so that no buffer holds
-    a whole column; what comes back is one or two values per share.
+    Each wanted rank has an open interval of values that holds it. While one holds more than
+    `most` rows, a sketch of what is inside draws two values close to the rank; counts below,
+    at, between and above them say in which part the rank is, whatever the sketch's error. A
+    part excludes the drawn values, so intervals shrink by some hundred times a step, and
+    values that very many rows share are found as such. The driver gets the counts of the
+    different values in the last intervals, at most `most` a rank. Nothing is sorted or written. Null
+    and NaN are missing.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    dealt = written(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").agg(F.sum("_c").alias("_n")).orderBy("_part").collect()  # a row per partition
-    total = sum(r["_n"] for r in sizes)
+    v = rows.select(F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    x, gap = F.col("_v"), 4 / accuracy
+    total = v.count()
     if not total:
         return [None] * len(shares)
-    places = sorted({int(p) + k for s in shares for p in [s * (total - 1)] for k in (0, 1) if int(p) + k < total})
-    start, starts = 0, {}
-    for r in sizes:
-        starts[r["_part"]] = (start, start + r["_n"])
-        start += r["_n"]
-    wanted = [part for part, (a, b) in starts.items() if any(a <= p < b for p in places)]
-    upto = Window.partitionBy("_part").orderBy("_v")
-    inside = dealt.where(F.col("_part").isin(wanted)).withColumn("_end", F.sum("_c").over(upto))
-    found = {}
-    hit = F.lit(False)
-    for part in wanted:
-        a, b = starts[part]
-        for p in places:
-            if a <= p < b:
-                hit |= (F.col("_part") == part) & (F.col("_end") > p - a) & (F.col("_end") - F.col("_c") <= p - a)
-    for r in inside.where(hit).collect():
-        a, _ = starts[r["_part"]]
-        for p in places:
-            if a + r["_end"] - r["_c"] <= p < a + r["_end"]:
-                found[p] = r["_v"]
+    ranks = sorted({r for s in shares for r in (int(s * (total - 1)), min(int(s * (total - 1)) + 1, total - 1))})
+    inside = {r: (None, None, 0, total) for r in ranks}  # lower and upper end, rows up to the lower end, rows inside
+    found: dict[int, float] = {}
+
+    def within(r: int) -> Column:
+        low, high, _, _ = inside[r]
+        c = F.lit(True) if low is None else x > low
+        return c if high is None else c & (x < high)
+
+    while wide := [r for r in inside if inside[r][3] > most]:
+        place = {r: (r - inside[r][2] + 0.5) / inside[r][3] for r in wide}
+        drawn = v.agg(*[F.percentile_approx(F.when(within(r), x), [max(0.0, place[r] - gap), min(1.0, place[r] + gap)], accuracy).alias(f"e{r}") for r in wide]).first()
+        parts = lambda r, a, b: (within(r) & (x < a), x == a, within(r) & (x > a) & (x < b), (x == b) & (x > a))
+        n = v.agg(*[F.count_if(c).alias(f"{k}_{r}") for r in wide for k, c in enumerate(parts(r, *drawn[f"e{r}"]))]).first()
+        for r in wide:
+            low, high, under, rows_in = inside.pop(r)
+            a, b = drawn[f"e{r}"]
+            before, at_a, between, at_b = (n[f"{k}_{r}"] for k in range(4))
+            at = r - under
+            if at < before:
+                inside[r] = (low, a, under, before)
+            elif at < before + at_a:
+                found[r] = a
+            elif at < before + at_a + between:
+                inside[r] = (a, b, under + before + at_a, between)
+            elif at < before + at_a + between + at_b:
+                found[r] = b
+            else:
+                passed = before + at_a + between + at_b
+                inside[r] = (b, high, under + passed, rows_in - passed)
+    if inside:
+        near = F.lit(False)
+        for r in inside:
+            near |= within(r)
+        counts = sorted((r["_v"], r["n"]) for r in v.where(near).groupBy("_v").agg(F.count("*").alias("n")).collect())
+        for r, (low, high, under, _) in inside.items():
+            for y, n in counts:
+                if (low is None or y > low) and (high is None or y < high):
+                    under += n
+                    if under > r:
+                        found[r] = y
+                        break
     out = []
     for s in shares:
-        p = s * (total - 1)
-        low, high = found[int(p)], found[min(int(p) + 1, total - 1)]
-        out.append(low + (high - low) * (p - int(p)))
+        place = s * (total - 1)
+        low, high = found[int(place)], found[min(int(place) + 1, total - 1)]
+        out.append(low + (high - low) * (place - int(place)))
     return out
 
 

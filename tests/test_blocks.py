@@ -19,6 +19,17 @@ def test_group_quantiles_are_exact(spark):
         assert all(got[g] == pytest.approx(np.quantile(v, share), abs=1e-12) for g, v in groups.items())
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "few"])
+def test_quantiles_by_brackets(spark, kind):
+    """Brackets that are drawn several times, values that very many rows share, and a handful of rows."""
+    r = np.random.default_rng(2)
+    values = {"spread": r.normal(size=9000), "ties": np.concatenate([np.full(5000, 1.0), r.integers(0, 4, 4000)]), "few": np.array([3.0, 1.0, 2.0])}[kind]
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double").repartition(4)
+    shares = [0.25, 0.5, 0.75, 0.95, 0.0, 1.0]
+    assert ranges.quantiles(df, "v", shares, most=40, accuracy=300) == pytest.approx([np.quantile(values, s) for s in shares], abs=1e-12)
+    assert ranges.quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
 def table(spark, values):
     rows = [(s, f, None if np.isnan(v) else float(v)) for s, row in enumerate(values) for f, v in enumerate(row)]
     return spark.createDataFrame(rows, "structure long, feature long, value double").repartition(3)

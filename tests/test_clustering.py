@@ -62,6 +62,16 @@ def test_density_of_points_on_borders(spark):
     assert cluster.density(frame(spark, []), 0.5, 5, 1).count() == 0
 
 
+def test_nearest_core_is_that_of_all_pairs(spark):
+    points, new = clumps(6, 500), clumps(6, 300)[::-1] + 0.01
+    labels = density_labels(points, 0.3, 5, 5)
+    fitted = spark.createDataFrame([(i, float(x), float(y), int(c)) for i, ((x, y), c) in enumerate(zip(points, labels))], "id long, z1 double, z2 double, cluster int")
+    got = of(cluster.nearest_core(frame(spark, new, [(None, 0.0)]), fitted, 0.3, 20))
+    d = np.square(new[:, None] - points[labels >= 0][None]).sum(axis=2)
+    want = np.where(d.min(axis=1) <= 0.09, labels[labels >= 0][d.argmin(axis=1)], -1)
+    assert (got[:-1] == want).all() and got[-1] == -1 and len(set(want)) > 2
+
+
 def test_leaf_pairs_do_not_grow_with_the_square(spark):
     """Two full cells side by side: a few pairs of leaves settle the link, and no step makes a row per pair of points."""
     points = np.random.default_rng(4).uniform(0, 0.2, (4000, 2)) + np.repeat([[0, 0], [0.21, 0]], 2000, axis=0)

@@ -223,8 +223,6 @@ def test_clustering(spark):
     fitted = rows.join(labels, "id")
     new = spark.createDataFrame([(0, 0.0, 0.05), (1, 5.0, 5.0), (2, 20.0, 0.0)], "id long, z1 double, z2 double")
     assert {r.id: r.cluster for r in cluster.nearest_core(new, fitted, 0.5).collect()} == {0: 0, 1: 1, 2: -1}
-    near = {(r.a, r.b) for r in cluster.near_pairs(rows, 0.2).collect()}
-    assert near == {(i, j) for i in range(81) for j in range(i + 1, 81) if np.square(pts[i] - pts[j]).sum() <= 0.04}
 
 
 def test_forest_attributions_add_up(spark):
