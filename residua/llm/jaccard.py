@@ -18,11 +18,14 @@ Equal sets are one class throughout. Per signature, the class that shares most l
 others; the best candidates of each class are verified on the texts, and classes so
 joined form first components. What is left are signatures shared by different components. Their members are compared with parity
 sketches, which bound the number of differing shingles from below. Signatures of a few
-members give candidate pairs at once. In larger ones, block by block, first only those
+members give candidate pairs at once. In larger ones first only those
 members are marked that have a candidate at all, by ever wider sketches; these then meet with their
-texts, and a block puts out the verified links that join components it has not yet
-joined. So rows that are put out grow with the members of a signature, not with their
-square, and no link between components is missed.
+texts, and the verified links that join components are put out. Signatures of over BLOCK members,
+which a frequent passage makes, are parted before: their members go by their rarest shingles,
+as many as two similar sets need to share one, so unrelated members do not meet and
+rows grow with the members. Only sets of which four fifths are shingles that over BLOCK others have
+still meet in a group of more members; these are compared block by block. No link
+between components is missed.
 
 Links are verified on the words themselves: words of both texts are numbered, and
 shingles are compared as exact numbers. Equal sets are told by a 64-bit hash.
@@ -376,11 +379,58 @@ def close_pairs(rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame
     return rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(released(run), "a long, b long")
 
 
+def mixed_signatures(rows: DataFrame) -> DataFrame:
+    """(sig, members) of the signatures that different components share. rows: sig, sid, comp."""
+    found = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members"))
+    return stage_table(found.where("x < y").select("sig", "members"), "mixed")
+
+
+def by_rare_shingles(sids: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """(sig, sid): each of the classes under its rarest shingles, so many that two similar sets share one.
+
+    Of n shingles a similar set has at least n * similarity, so one that both have is among the
+    n - ceil(n * similarity) + 1 rarest of either, in one order for all: by the number of these
+    classes, then by hash. A shingle of one class only comes first and needs no row.
+    """
+    num, den = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for batch, data, offsets in steps(batches):
+            sets = list(sets_in(data, offsets, hasher))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            sid = np.repeat(batch.column("sid").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(sid), pa.array(np.repeat(sizes, sizes))], ["sig", "sid", "size"])
+
+    shingles = texts.join(sids.select("sid"), "sid", "left_semi").mapInArrow(released(run), "sig long, sid long, size long")
+    # A table of its own, so that the join below can split a shingle that very many classes have.
+    common = stage_table(shingles.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    own = Window.partitionBy("sid")
+    ranked = shingles.join(common, "sig").withColumns({"rank": F.row_number().over(own.orderBy("n", "sig")), "several": F.count("*").over(own)})
+    prefix = F.expr(f"size - (size * {num} + {den - 1}) div {den} + 1")
+    return ranked.where(F.col("rank") <= prefix - (F.col("size") - F.col("several"))).select("sig", "sid")
+
+
+def parted(rows: DataFrame, texts: DataFrame, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """rows (sig, sid, comp), and (sig, members) of those signatures that different components share.
+
+    Members of signatures of over BLOCK members go by their rare shingles instead: unrelated
+    sets that only have frequent passages in common part here, and a class has a bounded number
+    of rows, however many signatures it shares with however many others.
+    """
+    mixed = mixed_signatures(rows)
+    large = mixed.where(F.col("members") > BLOCK)
+    if large.isEmpty():
+        return rows, mixed
+    sids = stage_table(rows.join(large, "sig").select("sid", "comp").distinct(), "large")
+    rare = stage_table(by_rare_shingles(sids, texts, similarity).join(sids, "sid").select("sig", "sid", "comp"), "rare")
+    return rows.select("sig", "sid", "comp").unionByName(rare), mixed.where(F.col("members") <= BLOCK).unionByName(mixed_signatures(rare))
+
+
 def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that join the components which still share a signature. classes: sid, n_shingles, sketch."""
     rows = shared.select("sig", "sid").join(small(labels), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x < y").select("sig", "members")
-    mixed = stage_table(mixed, "mixed")
+    rows, mixed = parted(rows, texts, similarity)
     few = rows.join(mixed.where(F.col("members") <= FEW).select("sig"), "sig").join(classes, "sid")
     many = rows.join(mixed.where(F.col("members") > FEW), "sig").join(classes, "sid")
     pairs = stage_table(close_pairs(few, similarity).distinct().join(tested, ["a", "b"], "left_anti"), "rest")

@@ -158,6 +158,38 @@ def test_jaccard_of_a_passage_that_very_many_share(spark):
     assert all(out[d] == (52, d) for d in range(1600))
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_jaccard_by_rare_shingles(spark, monkeypatch, seed):
+    """All signatures count as large, so members meet under rare shingles only."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    monkeypatch.setattr(jaccard, "hub_pairs", lambda shared, best=2: shared.sparkSession.createDataFrame([], "a long, b long"))
+    docs = corpus(seed, n=200)
+    assert got(jaccard.jaccard_digest(frame(spark, docs))) == brute.jaccard(docs)
+
+
+def test_rows_grow_with_the_members_of_a_signature(spark, monkeypatch):
+    """Unrelated members of large signatures part before they meet, and near copies among them are found."""
+    rare, met = [], []
+    by_rare_shingles, in_blocks = jaccard.by_rare_shingles, jaccard.in_blocks
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "by_rare_shingles", lambda *x: rare.append(by_rare_shingles(*x)) or rare[-1])
+    monkeypatch.setattr(jaccard, "in_blocks", lambda *x: met.append(in_blocks(*x)) or met[-1])
+    passage, r = [f"p{i}" for i in range(40)], random.Random(3)
+    counts = []
+    for n in (300, 600):
+        rows = [(i, " ".join([*passage, *(f"x{i}y{k}" for k in range(16))])) for i in range(n)]
+        copies = r.sample(range(n), n // 20)
+        rows += [(10_000 + i, rows[i][1] + " end") for i in copies]
+        out = got(jaccard.jaccard_digest(frame(spark, rows)))
+        assert all(c == (d - 10_000 if d >= 10_000 else d) for d, (_, c) in out.items())
+        assert rare
+        counts.append((sum(x.count() for x in rare), sum(x.count() for x in met)))
+        rare.clear(), met.clear()
+    (few, few_met), (many, many_met) = counts
+    # Only the near copies have rows: at most 12 of a prefix each.
+    assert few <= 12 * 2 * 15 and many <= 12 * 2 * 30 and many_met <= 3 * few_met + 100
+
+
 def test_similar_compares_words():
     many = [b"%d" % i for i in range(60_000)]
     assert jaccard.similar(many, many[100:]) and not jaccard.similar(many, many[20_000:])
