@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.text import distance
+from residua.operators.graph import written
 from residua.operators.ranges import quantiles
 
 
@@ -60,7 +61,8 @@ def distance_outliers(distances: DataFrame, cutoff: float = 3.0) -> DataFrame:
 
 def distance_summary(distances: DataFrame) -> DataFrame:
     columns = ("first_distance", "last_distance")
-    medians = {f"median_{c}": F.lit(quantiles(distances, c, [0.5])[0]).cast("double") for c in columns}
+    distances = written(distances.select(*columns))
+    medians = {f"median_{c}": F.lit(quantiles(distances, c, [0.5], stored=True)[0]).cast("double") for c in columns}
     out = distances.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns]).withColumns(medians)
     return out.select(*[f"{n}_{c}" for c in columns for n in ("mean", "median")])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.operators.graph import written
+from residua.operators.graph import dropped, written
 
 
 def numbered_by_range(rows: DataFrame, *keys: str, number: str = "number") -> DataFrame:
@@ -41,7 +41,7 @@ def least_by_hash(rows: DataFrame, n: Column | int, *keys: str, seed: int = 42,
     return near.where("_whole").select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float], most: int = 20_000, accuracy: int = 2048) -> list[float | None]:
+def quantiles(rows: DataFrame, value: str, shares: list[float], most: int = 20_000, accuracy: int = 2048, stored: bool = False) -> list[float | None]:
     """Exact quantiles, interpolated between neighbours, by brackets that a mergeable sketch draws.
 
     Each wanted rank has an open interval of values that holds it. While one holds more than
@@ -49,10 +49,17 @@ def quantiles(rows: DataFrame, value: str, shares: list[float], most: int = 20_0
     at, between and above them say in which part the rank is, whatever the sketch's error. A
     part excludes the drawn values, so intervals shrink by some hundred times a step, and
     values that very many rows share are found as such. The driver gets the counts of the
-    different values in the last intervals, at most `most` a rank. Nothing is sorted or written. Null
-    and NaN are missing.
+    different values in the last intervals, at most `most` a rank. Nothing is sorted. The values are
+    read several times, so they are written first, unless rows are a stored table; what gives
+    them runs once. Null and NaN are missing.
     """
     v = rows.select(F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    if not stored:
+        v = written(v)
+        try:
+            return quantiles(v, "_v", shares, most, accuracy, stored=True)
+        finally:
+            dropped(rows.sparkSession, v)
     x, gap = F.col("_v"), 4 / accuracy
     total = v.count()
     if not total:

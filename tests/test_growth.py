@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from residua.operators import labels
+from residua.operators import curation, labels, ranges
 
 
 def test_pairs_of_one_prefix_are_counted_not_made(spark):
@@ -14,3 +14,28 @@ def test_pairs_of_one_prefix_are_counted_not_made(spark):
     assert {r.by: r.n for r in got.collect()} == {f"kinase{i}": 100_000 * 400_000 for i in range(3)}  # 1.2e11 pairs
     none = spark.createDataFrame([(None,), ("other1",)], "y string")
     assert labels.count_by_prefix(a, none, "x", "y", 6, F.col("x")).count() == 0
+
+
+def counted(spark):
+    """A column function that counts the rows that it sees, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x: float) -> float:
+        seen.add(1)
+        return x
+
+    return F.udf(look, "double").asNondeterministic(), seen
+
+
+def test_rows_of_quantiles_are_made_once(spark):
+    look, seen = counted(spark)
+    rows = spark.range(5000).select(look(F.col("id").cast("double")).alias("x"))
+    assert ranges.quantiles(rows, "x", [0.25, 0.5], most=100) == [1249.75, 2499.5]
+    assert seen.value == 5000
+
+
+def test_distances_are_made_once(spark):
+    look, seen = counted(spark)
+    rows = spark.range(5000).select(look(F.col("id").cast("double")).alias("first_distance"), F.lit(2.0).alias("last_distance"))
+    assert curation.distance_summary(rows).collect() == [(2499.5, 2499.5, 2.0, 2.0)]
+    assert seen.value == 5000
