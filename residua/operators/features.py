@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.operators import alignment as al
+from residua.operators.graph import written
 from residua.operators.ranges import group_quantiles, quantiles
 
 
@@ -115,5 +116,6 @@ def symmetric_matrix(long: DataFrame, structures: DataFrame | None = None) -> Da
 
 def heat_scale(long: DataFrame) -> DataFrame:
     """low, the least value, and high, the 95 % quantile (exact, interpolated)."""
-    (high,) = quantiles(long, "value", [0.95])
+    long = written(long.select("value"))
+    (high,) = quantiles(long, "value", [0.95], stored=True)
     return long.agg(F.min("value").alias("low")).withColumn("high", F.lit(high).cast("double"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from residua.operators import curation, labels, ranges
+from residua.operators import curation, features, labels, ranges
 
 
 def test_pairs_of_one_prefix_are_counted_not_made(spark):
@@ -39,3 +39,9 @@ def test_distances_are_made_once(spark):
     rows = spark.range(5000).select(look(F.col("id").cast("double")).alias("first_distance"), F.lit(2.0).alias("last_distance"))
     assert curation.distance_summary(rows).collect() == [(2499.5, 2499.5, 2.0, 2.0)]
     assert seen.value == 5000
+
+
+def test_heat_scale_makes_its_values_once(spark):
+    look, seen = counted(spark)
+    assert features.heat_scale(spark.range(1, 102).select(look(F.col("id").cast("double")).alias("value"))).collect() == [(1.0, 96.0)]
+    assert seen.value == 101
