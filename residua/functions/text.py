@@ -1,12 +1,14 @@
-"""Column functions: keys, sequence text, labels, tool reports and nested payloads. All are JVM expressions."""
+"""Column functions: keys, sequence text, labels, tool reports and nested payloads. All are JVM expressions but for the greedy alignment."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Three-letter and one-letter codes of the standard residues.
 RESIDUE_CODES = {
@@ -76,20 +78,30 @@ def motif_validity(reference: Column, other: Column, motifs: list[str]) -> Colum
     return F.struct(*parts, F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("aligned", T.StringType()), T.StructField("matched", T.IntegerType()), T.StructField("longest_gap", T.IntegerType())]))
+def _greedy(declared: pd.Series, observed: pd.Series) -> pd.DataFrame:
+    out = []
+    for d, o in zip(declared, observed):
+        text, at, run, longest = [], 0, 0, 0
+        o = o or ""
+        for ch in d or "":
+            if o[at : at + 1] == ch:
+                text.append(ch)
+                at, run = at + 1, 0
+            else:
+                text.append("-")
+                run += 1
+                longest = max(longest, run)
+        out.append(("".join(text), at, longest))
+    return pd.DataFrame(out, columns=["aligned", "matched", "longest_gap"])
+
+
 def greedy_alignment(declared: Column, observed: Column) -> Column:
-    """Declared letters against observed ones: advance on a match, else a gap. Struct of text, matched, longest gap."""
-    step = lambda acc, ch: F.struct(
-        F.concat(acc["text"], F.when(_hit(acc, ch, observed), ch).otherwise(F.lit("-"))).alias("text"),
-        (acc["matched"] + F.when(_hit(acc, ch, observed), 1).otherwise(0)).alias("matched"),
-        F.when(_hit(acc, ch, observed), 0).otherwise(acc["run"] + 1).alias("run"),
-        F.greatest(acc["longest"], F.when(_hit(acc, ch, observed), 0).otherwise(acc["run"] + 1)).alias("longest"),
-    )
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("matched"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
-    return F.aggregate(F.filter(F.split(declared, ""), lambda x: x != ""), zero, step, lambda acc: F.struct(acc["text"].alias("aligned"), acc["matched"].alias("matched"), acc["longest"].alias("longest_gap")))
-
-
-def _hit(acc: Column, ch: Column, observed: Column) -> Column:
-    return F.substring(observed, acc["matched"] + 1, F.lit(1)) == ch
+    """Declared letters against observed ones: advance on a match, else a gap. Struct of text, matched, longest gap.
+
+    One pass over the letters: as a fold in Spark's expressions each step would copy the text so far.
+    """
+    return F.when(declared.isNotNull(), _greedy(declared, observed))
 
 
 def natural_residues(declared: Column, aligned: Column) -> Column:

@@ -1,7 +1,10 @@
 """Work that grows with the input: counted rows, files and passes of steps that once made more."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from residua.functions import text as tx
 from residua.operators import curation, features, labels, ranges
 
 
@@ -45,3 +48,11 @@ def test_heat_scale_makes_its_values_once(spark):
     look, seen = counted(spark)
     assert features.heat_scale(spark.range(1, 102).select(look(F.col("id").cast("double")).alias("value"))).collect() == [(1.0, 96.0)]
     assert seen.value == 101
+
+
+def test_greedy_alignment_of_long_texts_is_one_pass(spark):
+    rows = spark.createDataFrame([("AB" * 100_000, "A" * 100_000)], "d string, o string")
+    began = time.time()
+    (r,) = rows.select(tx.greedy_alignment(F.col("d"), F.col("o")).alias("r")).select("r.*").collect()
+    assert r.aligned == "A-" * 100_000 and r.matched == 100_000 and r.longest_gap == 1
+    assert time.time() - began < 20
