@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import text as tx
+from residua.operators.graph import written
 
 
 def requested_chains(atoms: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -17,6 +18,14 @@ def requested_chains(atoms: DataFrame, manifest: DataFrame) -> tuple[DataFrame,
     return found.drop("accession"), none
 
 
+def requested_counts(atoms: DataFrame, manifest: DataFrame) -> DataFrame:
+    """accession, chain, n_atoms of each request: the rows of requested_chains (0: none), counted before they are joined."""
+    protein = atoms.where(F.col("resname").isin(list(tx.RESIDUE_CODES)))
+    counts = protein.groupBy("structure", "chain").agg(F.count("*").alias("n")).groupBy(F.upper("structure").alias("accession"), "chain").agg(F.sum("n").alias("n"))
+    asked = manifest.select("accession", F.explode("chains").alias("chain"))
+    return asked.join(counts, ["accession", "chain"], "left").select("accession", "chain", F.coalesce("n", F.lit(0)).alias("n_atoms"))
+
+
 def select_atoms(atoms: DataFrame, *names: str) -> DataFrame:
     return atoms.where(F.col("atom").isin(list(names)))
 
@@ -43,16 +52,20 @@ def peptide_fragments(rows: DataFrame, longest_bond: float = 1.8) -> DataFrame:
 
 def sequences(rows: DataFrame) -> DataFrame:
     """structure, seq and resnums in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("chain", "first", "letter", "resseq")))
+    ordered = F.sort_array(F.collect_list(F.struct("chain", "first", "letter", "resseq")))
     out = rows.groupBy("structure").agg(ordered.alias("r"))
     return out.select("structure", F.array_join(F.transform("r", lambda x: x["letter"]), "").alias("seq"), F.transform("r", lambda x: x["resseq"]).alias("resnums"))
 
 
+def _motif_ends(seqs: DataFrame, motifs: list[str]) -> DataFrame:
+    start, end = tx.motif_region(F.col("seq"), motifs)
+    rows = seqs.withColumns({"_a": start, "_b": end})
+    return rows.select("structure", F.element_at("resnums", F.col("_a") + 1).alias("low"), F.element_at("resnums", F.col("_b")).alias("high"), F.col("_a").isNotNull().alias("found"))
+
+
 def motif_bounds(seqs: DataFrame, motifs: list[str]) -> DataFrame:
     """first and last residue number of the region that the found motifs span (one is enough); none: no row."""
-    start, end = tx.motif_region(F.col("seq"), motifs)
-    rows = seqs.withColumns({"_a": start, "_b": end}).where("_a is not null")
-    return rows.select("structure", F.element_at("resnums", F.col("_a") + 1).alias("low"), F.element_at("resnums", F.col("_b")).alias("high"))
+    return _motif_ends(seqs, motifs).where("found").drop("found")
 
 
 def slice_residues(atoms: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -62,5 +75,6 @@ def slice_residues(atoms: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def loops(atoms: DataFrame, motifs: list[str], names: tuple[str, ...] = ("CA",)) -> tuple[DataFrame, DataFrame]:
     """Named atoms of each structure's motif region, and the structures without a motif."""
-    bounds = motif_bounds(sequences(residues(atoms)), motifs)
-    return select_atoms(slice_residues(atoms, bounds), *names), atoms.select("structure").distinct().join(bounds, "structure", "left_anti")
+    ends = written(_motif_ends(sequences(residues(atoms)), motifs))  # a row per structure
+    bounds = ends.where("found").drop("found")
+    return select_atoms(slice_residues(atoms, bounds), *names), ends.where("not found").select("structure")
