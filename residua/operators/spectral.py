@@ -6,11 +6,14 @@ residual 1 - |features|^2, is computed for every point, and the error of any aff
 most the root of the product of its points' residuals, so the largest residual bounds all
 errors. Degrees, and the leading vectors of the normalised affinities, then come from one
 small matrix that is summed over the points.
+
+Workers take the points a slice at a time, so what they hold is bounded by the landmarks,
+whatever the size of the batches that Spark hands them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,8 @@ from residua.operators.graph import written
 MOST = 1024
 #: Parts in which the partitions' sums are added up before the last sum.
 PARTS = 32
+#: Points whose affinities with the landmarks a worker holds at once.
+SLICE = 512
 
 
 @dataclass
@@ -51,14 +56,32 @@ def _landmarks(rows: DataFrame, gamma: float, side: float, around: int) -> tuple
         side *= 1.5
 
 
+def _slices(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.ndarray]]:
+    """Ids and places of at most SLICE points at a time."""
+    for pdf in frames:
+        for i in range(0, len(pdf), SLICE):
+            some = pdf.iloc[i : i + SLICE]
+            yield some.id, some[["z1", "z2"]].to_numpy(float)
+
+
+def _near(x: np.ndarray, marks: np.ndarray, gamma: float) -> np.ndarray:
+    """Affinities of places and landmarks."""
+    out, other = (np.subtract.outer(x[:, i], marks[:, i]) for i in (0, 1))
+    out *= out
+    other *= other
+    out += other
+    out *= -gamma
+    return np.exp(out, out=out)
+
+
 def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
-    """Sum over all partitions of part(frames), a matrix of `size` rows; added up row by row, in two steps."""
+    """Sum over all slices of part(places), a matrix of `size` rows; added up row by row, in two steps."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
-        for pdf in frames:
-            m = part(pdf)
-            total = m if total is None else total + m
+        for _, x in _slices(frames):
+            m = part(x)
+            total = m if total is None else np.add(total, m, out=total)
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
 
@@ -79,20 +102,19 @@ def spectrum(rows: DataFrame, k: int, gamma: float = 1.0, side: float = 0.5, aro
     marks, side = _landmarks(points, gamma, side, around)
     if not len(marks):
         return Spectrum(points.select("id").withColumn("vector", F.array().cast("array<double>")), np.zeros(0), 0, 0.0)
-    near = lambda x: np.exp(-gamma * (np.square(x[:, None, 0] - marks[None, :, 0]) + np.square(x[:, None, 1] - marks[None, :, 1])))
-    values, vectors = np.linalg.eigh(near(marks))
+    values, vectors = np.linalg.eigh(_near(marks, marks, gamma))
     use = values > 1e-11 * values[-1]
     root = vectors[:, use] / np.sqrt(values[use])
     size = int(use.sum())
-    features = lambda pdf: near(pdf[["z1", "z2"]].to_numpy(float)) @ root
+    features = lambda x: _near(x, marks, gamma) @ root
 
-    def degrees(pdf: pd.DataFrame) -> np.ndarray:
-        return features(pdf).sum(axis=0)[:, None]
+    def degrees(x: np.ndarray) -> np.ndarray:
+        return features(x).sum(axis=0)[:, None]
 
     total = _summed(points, degrees, size)[:, 0]
 
-    def gram(pdf: pd.DataFrame) -> np.ndarray:
-        f = features(pdf)
+    def gram(x: np.ndarray) -> np.ndarray:
+        f = features(x)
         return f.T @ (f / (f @ total)[:, None])
 
     g = _summed(points, gram, size)
@@ -102,10 +124,10 @@ def spectrum(rows: DataFrame, k: int, gamma: float = 1.0, side: float = 0.5, aro
     leading = leading * np.sign(leading[np.abs(leading).argmax(axis=0), np.arange(leading.shape[1])])
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            f = features(pdf)
+        for id_, x in _slices(frames):
+            f = features(x)
             v = (f @ leading) / np.sqrt(np.maximum(values_, 1e-300)) / (f @ total)[:, None]
-            yield pd.DataFrame({"id": pdf.id, "vector": list(v), "gap": np.clip(1 - np.square(f).sum(axis=1), 0, None)})
+            yield pd.DataFrame({"id": id_, "vector": list(v), "gap": np.clip(1 - np.square(f).sum(axis=1), 0, None)})
 
     out = written(points.mapInPandas(project, f"{points.select('id').schema.simpleString()[7:-1].replace(':', ' ')}, vector array<double>, gap double"))
     gap = out.agg(F.max("gap")).first()[0] or 0.0

@@ -1,6 +1,7 @@
 """Exact clustering against plain versions over all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,21 @@ def test_spectral_clusters_rings_of_density(spark):
     got = of(cluster.spectral(frame(spark, points, [(None, 0.0)]), 2))
     assert (got[:80] == 0).all() and (got[80:130] == 1).all() and got[130] == -1
     assert cluster.spectral(frame(spark, []), 2).count() == 0
+
+
+def test_spectral_holds_a_slice_of_a_batch_at_a_time(spark):
+    """A partition of 20,000 points comes in two batches; workers make no matrix of a batch's points."""
+    rows = spark.range(20_000, numPartitions=1).select("id", (F.col("id") % 100 / 25).alias("z1"), (F.col("id") % 7 / 5).alias("z2"))
+    sizes = spectral._summed(rows, lambda x: np.array([[len(x), len(x) > 600]], float), 1)
+    assert sizes.tolist() == [[20_000, 0]]
+    found = spectral.spectrum(rows, 2)
+    assert found.rows.select("id").distinct().count() == 20_000 and abs(found.values[0] - 1) < 1e-4
+
+
+def test_spectral_affinities_of_a_slice():
+    x, marks = np.random.default_rng(5).normal(size=(300, 2)), np.random.default_rng(6).normal(size=(90, 2))
+    assert (spectral._near(x, marks, 0.7) == np.exp(-0.7 * np.square(x[:, None] - marks[None]).sum(axis=2))).all()
+    frames = [pd.DataFrame({"id": range(n), "z1": 1.0, "z2": range(n)}) for n in (0, 10_000, 3)]
+    cut = list(spectral._slices(frames))
+    assert max(len(x) for _, x in cut) == spectral.SLICE and sum(len(x) for _, x in cut) == 10_003
+    assert [i for ids, _ in cut for i in ids] == [v for _, x in cut for v in x[:, 1]] == [*range(10_000), 0, 1, 2]
